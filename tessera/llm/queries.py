@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing
+from tessera.llm import chat, exact, html, langid, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.query,
     "op2_mixing": mixing.query,
+    "op3_exact": exact.query,
     "op4_chat": chat.query,
+    "op8_html": html.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_exact": exact.ORACLE,
     "op4_chat": chat.ORACLE,
 }
