@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact, html, langid, mixing
+from tessera.llm import chat, exact, html, langid, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
     "op2_mixing": mixing.query,
     "op3_exact": exact.query,
     "op4_chat": chat.query,
+    "op6_simhash": simhash.query,
     "op8_html": html.query,
 }
 
