@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact, html, langid, mixing, simhash
+from tessera.llm import chat, exact, html, langid, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": chat.query,
     "op6_simhash": simhash.query,
     "op8_html": html.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {
