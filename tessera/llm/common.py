@@ -15,12 +15,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a kernel works on at once.
 CHUNK_BYTES = 8 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_made: list[tuple[SparkSession, str]] = []
+#: Folders made so far. Names only: functions that run on executors carry this module's values.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,18 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(path: str) -> None:
+    spark = SparkSession.getActiveSession()
     with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the scratch tables made so far (of one session). Frames that read them end with it."""
-    for entry in [x for x in _made if spark is None or x[0] is spark]:
-        _made.remove(entry)
-        _delete(*entry)
+def release() -> None:
+    """Delete the scratch tables made so far. Frames that read them end with it."""
+    while _made:
+        _delete(_made.pop())
 
 
 atexit.register(release)
@@ -57,7 +58,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-        _made.append((spark, self.path))
+        _made.append(self.path)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return it as read back; the shuffle files it took are freed at once."""
@@ -76,7 +77,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.path}/{name}")
+        _delete(f"{self.path}/{name}")
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -95,7 +96,7 @@ def held_out(doc_id: Column) -> Column:
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text in each, or one row."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total + n > limit and i > start:
