@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact, html, langid, mixing, simhash, toxicity
+from tessera.llm import chat, decontam, exact, html, langid, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": simhash.query,
     "op8_html": html.query,
     "op9_toxicity": toxicity.query,
+    "op10_decontam": decontam.query,
 }
 
 ORACLES: dict[str, str] = {
