@@ -44,10 +44,17 @@ def _delete(path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release() -> None:
-    """Delete the scratch tables made so far. Frames that read them end with it."""
-    while _made:
-        _delete(_made.pop())
+def made() -> list[str]:
+    """The folders of scratch tables that exist now."""
+    return list(_made)
+
+
+def release(paths: list[str] | None = None) -> None:
+    """Delete scratch tables (all of them, unless given). Frames that read them end with it."""
+    for path in made() if paths is None else paths:
+        if path in _made:
+            _made.remove(path)
+            _delete(path)
 
 
 atexit.register(release)
