@@ -1,10 +1,300 @@
-"""Every registered query of the record-linkage operators, and its SQL."""
+"""Every registered query of the record-linkage operators, and its SQL.
+
+Records are the parts (see :mod:`tessera.operators.records`): their names and addresses are whole
+columns, a brand is a country, and a link is the same name and kind within a brand. Scores that a
+matcher would give come from a hash of the pair, so that any engine gets the same ones.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from tessera.functions import features, text
+from tessera.operators import blocking, decision, dense, fusion, lexical, metrics, records, splits, validate
+from tessera.plans import oracles
+from tessera.session import table
+from tessera.sources import sinks, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+TOP = 20
+POLICY = [("global", 0.7, 0.6), ("Brand#1", 0.6, 0.5), ("Brand#2", 0.9, 0.2)]
+DEPTHS = (5, 10, None)
+
+
+class Data:
+    """The frames that the queries share."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir = spark, sf_dir
+        self.records = records.records(spark, sf_dir)
+        self.queries, self.pool, self.truth = records.queries(self.records), records.pool(self.records), records.truth(self.records)
+
+    def structured(self, top: int = TOP) -> DataFrame:
+        return blocking.structured(self.queries, self.pool, top)
+
+    def texts(self, mode: str) -> tuple[DataFrame, DataFrame]:
+        make = lambda d, i: d.select(i, "country", text.channel_text(F.col("name"), F.col("address"), mode).alias("text"))
+        return make(self.queries, "qid"), make(self.pool, "tid")
+
+    def lexical(self, mode: str = "name_only", top: int = TOP) -> DataFrame:
+        return lexical.channel(*self.texts(mode), lexical.Config(max_df=0.6, top=top))
+
+    def hits(self) -> DataFrame:
+        return fusion.stack({"name_only": self.lexical(), "structured": self.structured()})
+
+    def fused(self) -> DataFrame:
+        return fusion.reciprocal_rank(self.hits())
+
+    def required(self) -> DataFrame:
+        return self.queries.select("qid", "country")
+
+    def scored(self) -> DataFrame:
+        """qid, tid, p, country, is_match."""
+        pairs = self.structured().select("qid", "tid", pair_score(F.col("qid"), F.col("tid")).alias("p")).join(self.required(), "qid")
+        marked = self.truth.withColumn("hit", F.lit(1))
+        return pairs.join(marked, ["qid", "tid"], "left").withColumn("is_match", F.coalesce("hit", F.lit(0))).drop("hit")
+
+    def counts(self, ts: float = 0.7, tm: float = 0.6) -> DataFrame:
+        return metrics.per_query(self.required(), self.truth, decision.two_threshold(self.scored(), ts, tm))
+
+    def n_true(self) -> DataFrame:
+        n = self.truth.groupBy("qid").agg(F.count(F.lit(1)).alias("n_true"))
+        return self.required().join(n, "qid", "left").na.fill(0, ["n_true"])
+
+
+def pair_score(q: Column, t: Column) -> Column:
+    """A pair's made-up probability in thousandths."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", q, t)), 1, 6), 16, 10).cast("long") % 1000) / 1000.0
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured blocking, scored by what the best matcher could make of it, by country."""
+    d = Data(spark, sf_dir)
+    return metrics.candidate_report(metrics.counts(d.required(), d.truth, d.structured()), ["country"])
+
+
+def _on(f: Callable[[Data], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(Data(spark, sf_dir))
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("qid"), "c_mktsegment", (F.col("c_custkey") % 8).alias("n_matches"))
+    key = F.col("qid")
+    return splits.build_splits(ids, "qid").select("qid", "split", splits.group_key(key).cast("string").alias("group_key"), splits.folds(key).alias("fold"), splits.match_bucket(F.col("n_matches")).alias("bucket"))
+
+
+def _crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("qid"), (F.col("c_custkey") % 8).alias("n_matches"))
+    return splits.crosstab(splits.build_splits(ids.select("qid"), "qid"), ids, "qid")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("qid"), "c_mktsegment")
+
+
+def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts through the primary view, and their names' core."""
+    docs = table(spark, sf_dir, "documents")
+    view = text.unicode_view(F.col("text"))
+    return docs.select("doc_id", F.md5(view).alias("view_md5"), F.length(text.name_core(view)).alias("core_chars"), F.size(F.split(view, " ")).alias("n_tokens"))
+
+
+def _scalars(d: Data) -> DataFrame:
+    """String functions over all records."""
+    n, a = F.col("business_name"), F.col("business_address")
+    return d.records.select(
+        "entity_id", text.soundex(F.get(F.split(n, " "), F.lit(0))).alias("soundex"), text.is_missing(n).alias("missing"), text.is_blank(a).alias("blank"),
+        text.expand(F.lower(a), text.STREET_WORDS["US"]).alias("expanded"), text.first_postal(a).alias("pin"), F.array_join(text.house_numbers(a), ",").alias("houses"),
+        text.channel_text(n, a, "joint").alias("joint"), text.search_text(n, a, F.lit("US")).alias("search"), text.pair_text(n, a).alias("pair"), text.pair_text(n, a, F.col("country")).alias("line"),
+        text.suffix_match(n, a, ("ring", "st", "bolt")).alias("suffix_match"), F.array_join(F.array_sort(features.char_grams(n)), "|").alias("grams"),
+    )
+
+
+def _pair_features(d: Data) -> DataFrame:
+    view = lambda f: text.normalized(F.col("name"), F.col("address"), F.lit("US")).alias(f)
+    best = d.hits().groupBy("qid", "tid").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("channels")).join(d.fused().select("qid", "tid", "rrf"), ["qid", "tid"])
+    pairs = best.join(d.queries.select("qid", view("q")), "qid").join(d.pool.select("tid", view("t")), "tid")
+    return pairs.select("qid", "tid", *[F.round(c, 9).alias(name) for name, c in features.exact_features().items()])
+
+
+def _fuzzy(d: Data) -> DataFrame:
+    """Fuzzy ratios of the structured pairs, once a distinct pair of names and of addresses."""
+    pairs = d.structured().join(d.queries.select("qid", F.col("name").alias("a"), F.col("address").alias("x")), "qid").join(d.pool.select("tid", F.col("name").alias("b"), F.col("address").alias("y")), "tid")
+    q, t = F.struct(F.col("a").alias("name"), F.col("x").alias("address")).alias("q"), F.struct(F.col("b").alias("name"), F.col("y").alias("address")).alias("t")
+    return pairs.select("qid", "tid", q, t).select("qid", "tid", *[F.round(c, 9).alias(n) for n, c in features.fuzzy_features().items()])
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id divides by 50, against all vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+    return dense.search(asked, v.select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v")), 10).select("qid", "tid", F.round("score", 4).alias("score"), "rank")
+
+
+def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as 8 tokens of 8 numbers, the even ones under the mask."""
+    v = table(spark, sf_dir, "embeddings")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i % 2 == 0).cast("int"))
+    pooled = dense.mean_pool(tokens, mask)
+    return v.select("vec_id", F.round(F.get(pooled, F.lit(0)), 6).alias("p0"), F.round(F.get(pooled, F.lit(7)), 6).alias("p7"))
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine of each vector with the next of its label, and a fusion with a made-up score."""
+    v = table(spark, sf_dir, "embeddings")
+    w = W.partitionBy("label").orderBy("vec_id")
+    near = v.withColumn("other", F.lead("embedding").over(w)).where(F.col("other").isNotNull())
+    cos = features.cosine(F.col("embedding"), F.col("other"))
+    return near.select("vec_id", F.round(cos, 5).alias("cosine"), F.round(features.fused(F.lit(0.5), cos, 0.2), 5).alias("fused"))
+
+
+def _hashed(d: Data) -> DataFrame:
+    q, p = d.texts("name_only")
+    return dense.hashed_search(dense.hashed_grams(q, "qid"), dense.hashed_grams(p, "tid"), 10)
+
+
+def _lists(d: Data) -> DataFrame:
+    """The sorted and the ranked id list of each query, and its count by commas."""
+    hits = d.structured()
+    a = sinks.id_lists(d.required(), hits)
+    b = sinks.ranked_id_lists(d.required(), hits).withColumnRenamed("ids", "ranked")
+    return a.join(b, "qid").select("qid", "ids", "ranked", tables.id_count(F.col("ids")).cast("long").alias("n"), F.size(tables.id_list(F.col("ids"))).cast("long").alias("n_items"))
+
+
+def _validator(d: Data) -> DataFrame:
+    """The matches of every query against the candidates, the truth and the pool: findings by rule."""
+    lists = sinks.id_lists(d.required(), d.structured(5))
+    lines = lists.select(F.lit(1).alias("line_no"), F.concat_ws("\t", "qid", "ids").alias("value")).unionByName(d.spark.createDataFrame([(0, "source1_entity_id\tmatched_entity_ids")], "line_no int, value string"))
+    other = d.required().where(~F.col("qid").endswith("7")).unionByName(d.spark.createDataFrame([("S1-x", "none")], "qid string, country string"))
+    return validate.check_lists(lines, "source1_entity_id\tmatched_entity_ids", other, d.pool.where(~F.col("tid").endswith("3"))).select("rule", "n", F.array_join("examples", ",").alias("examples"))
+
+
+def _pairs_check(d: Data) -> DataFrame:
+    scored = d.scored().withColumn("is_match", F.when(F.col("tid").endswith("11"), 1 - F.col("is_match")).otherwise(F.col("is_match")))
+    return validate.check_pairs(scored, d.truth, d.required().where(~F.col("qid").endswith("9"))).select("rule", "n", F.array_join("examples", ",").alias("examples"))
+
+
+def _chunks(d: Data) -> DataFrame:
+    all_ = d.required().withColumn("chunk", F.length("country") % 2)
+    twice = all_.where(F.col("qid").endswith("1")).withColumn("chunk", F.lit(9))
+    return validate.check_chunks(all_.where(~F.col("qid").endswith("4")).unionByName(twice), d.required().where(~F.col("qid").endswith("6"))).select("rule", "n", F.array_join("examples", ",").alias("examples"))
+
+
+def _sweep(d: Data, ordered: bool = True) -> DataFrame:
+    cells = decision.grid(d.spark, decision.SINGLETON_GRID, decision.MATCH_GRID, ordered)
+    return decision.sweep(d.scored(), d.n_true(), cells)
+
+
+def _policies(d: Data) -> DataFrame:
+    cells = decision.grid(d.spark, (0.5, 0.6, 0.7, 0.8, 0.9), (0.5, 0.6, 0.7, 0.8, 0.9))
+    return decision.select_policies(d.scored(), d.n_true(), cells)
+
+
+def _applied(d: Data) -> DataFrame:
+    policy = d.spark.createDataFrame(POLICY, "grp string, ts double, tm double")
+    return decision.apply_policy(d.scored(), policy).select("qid", "tid", "p", "country")
+
+
+def _oracle_scores(d: Data) -> DataFrame:
+    return metrics.per_query(d.required(), d.truth, metrics.oracle(d.truth, d.structured()))
+
+
+def _bootstrap(d: Data) -> DataFrame:
+    out = metrics.paired_bootstrap(d.counts(0.7, 0.7), d.counts(0.6, 0.5), 1000, 0, "country")
+    return d.spark.createDataFrame([tuple(out.values())], "delta double, low double, high double")
+
+
+def _model(d: Data) -> DataFrame:
+    """Out-of-fold predictions of the structured pairs, three folds by query."""
+    from tessera.operators import model
+
+    names = ("score", "rank", "p")
+    rows = d.scored().join(d.structured().select("qid", "tid", "score", F.col("rank").cast("double").alias("rank")), ["qid", "tid"]).withColumn("fold", splits.folds(F.col("qid")))
+    rows = rows.withColumn("is_match", F.col("is_match").cast("double")).withColumn("noise", F.col("p")).select("qid", "tid", "fold", "is_match", "score", "rank", "noise").persist()
+    out, _ = model.out_of_fold(rows, (*names[:2], "noise"), rounds=5, settings={"maxDepth": 3, "stepSize": 0.2})
+    return out.select("qid", "tid", "fold", "p")
+
+
+def _negatives(d: Data) -> DataFrame:
+    return splits.negatives(d.structured().select("qid", "tid"), d.truth)
+
+
+def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.roles(_customers(spark, sf_dir), "qid", {"calibration": 20, "comparison": 30}, "c_mktsegment").select("qid", "c_mktsegment", "role")
+
+
+QUERIES: dict[str, Query] = {
+    "flagship": flagship,
+    "pool_scan": lambda s, d: records.pool_from(*[records.records(s, d).where(F.col("source") == x) for x in ("S2", "S3")], country="Brand#7").select("entity_id", "business_name", "business_address"),
+    "structured_keys": _on(lambda d: blocking.keys(d.pool, "tid").groupBy("tid", "key_type").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))),
+    "structured_overflow": _on(lambda d: blocking.overflow(blocking.keys(d.pool.withColumn("country", F.lit("all")), "tid"))),
+    "structured_search": _on(lambda d: d.structured()),
+    "pin_block": _on(lambda d: blocking.pin_block(*[x.withColumn("address", F.concat(F.lit("zip 400"), F.lpad(F.regexp_extract("address", r"^(\d+)", 1), 3, "0"))) for x in (d.queries, d.pool)], 40)),
+    "backfill": _on(lambda d: blocking.backfill(d.queries, d.pool, d.structured(5))),
+    "challenger": _on(lambda d: fusion.reciprocal_rank(fusion.stack({"structured": blocking.structured(d.queries, d.pool, 100, ("small", "red")), "locked": d.lexical()}), None, from_zero=True).where(F.col("rrf_rank") <= 50)),
+    "duplicate_map": _on(lambda d: blocking.duplicates(d.pool).select("tid", F.array_join("siblings", ",").alias("siblings"))),
+    "missed_targets": _on(lambda d: blocking.missed_targets(d.truth, d.structured(5))),
+    "lexical_name": _on(lambda d: d.lexical()),
+    "lexical_address": _on(lambda d: d.lexical("address_only")),
+    "second_pass": _on(lambda d: lexical.second_pass(*d.texts("name_only"), d.lexical().where(F.col("score") > 0.5), lexical.Config(max_df=0.6, top=TOP))),
+    "dense_search": _dense,
+    "mean_pooling": _pooled,
+    "pair_cosine": _cosine,
+    "hashed_search": _on(_hashed),
+    "fusion_sources": _on(lambda d: fusion.union_with_sources(d.hits()).select("qid", "tid", F.array_join(F.array_sort(F.map_keys("sources")), ",").alias("channels"))),
+    "fusion_rrf": _on(lambda d: d.fused()),
+    "fusion_rrf_plain": _on(lambda d: fusion.reciprocal_rank(d.hits(), None)),
+    "fusion_lookups": _on(lambda d: fusion.lookups(d.hits(), ("name_only", "structured"))),
+    "fusion_duplicates": _on(lambda d: fusion.expand_duplicates(d.fused(), blocking.duplicates(d.pool))),
+    "fusion_cover": _on(lambda d: fusion.cover(d.fused(), d.required(), 10)),
+    "fusion_unions": _on(lambda d: fusion.cumulative_unions({"name_only": d.lexical(), "structured": d.structured()}, blocking.duplicates(d.pool)).groupBy("step", "channel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("qid").alias("n_queries"))),
+    "fusion_max_merge": _on(lambda d: fusion.max_merge(d.lexical(), d.structured())),
+    "fusion_owner": _on(lambda d: fusion.one_owner(d.structured()).select("qid", "tid", "score")),
+    "fusion_hash": _on(lambda d: fusion.set_hash(d.structured(), "score")),
+    "union_sizes": _on(lambda d: d.hits().select("qid", "tid").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.min("n").alias("least"))),
+    "normalize_documents": _normalize,
+    "string_functions": _on(_scalars),
+    "pair_features": _on(_pair_features),
+    "fuzzy_features": _on(_fuzzy),
+    "splits": _splits,
+    "split_crosstab": _crosstab,
+    "fresh_probe": lambda s, d: splits.sample(_customers(s, d).where(~splits.exposed(F.col("qid"))), "qid", 25, "probe").select("qid"),
+    "group_sample": lambda s, d: splits.sample(_customers(s, d), "qid", 10, "sample", ["c_mktsegment"]),
+    "sorted_slice": lambda s, d: splits.slice_sorted(_customers(s, d), "qid", 10, 15),
+    "role_manifest": _roles,
+    "role_checks": lambda s, d: splits.overlaps(_roles(s, d), "qid").select("qid").unionByName(splits.uncovered(_customers(s, d), _roles(s, d), "qid")),
+    "negative_sample": _on(_negatives),
+    "two_threshold": _on(lambda d: decision.two_threshold(d.scored(), 0.7, 0.6).select("qid", "tid", "p")),
+    "single_threshold": _on(lambda d: decision.single_threshold(d.scored(), 0.5).select("qid", "tid", "p")),
+    "sweep_diagonal": _on(lambda d: decision.sweep(d.scored(), d.n_true(), d.spark.createDataFrame([(x, x) for x in decision.DIAGONAL], "ts double, tm double"))),
+    "sweep_grid": _on(_sweep),
+    "tune_best": _on(lambda d: decision.best_cell(_sweep(d))),
+    "tune_free": _on(lambda d: decision.best_cell(_sweep(d, ordered=False), prefer_high=True)),
+    "select_policies": _on(_policies),
+    "apply_policy": _on(_applied),
+    "per_query_scores": _on(lambda d: d.counts().select("qid", "country", "n_true", "n_pred", "n_tp", F.round("f05", 9).alias("f05"), F.round(metrics.f05_by_rates(F.col("n_true"), F.col("n_pred"), F.col("n_tp")), 9).alias("f05_by_rates"))),
+    "summary": _on(lambda d: metrics.summarize(d.counts())),
+    "losses": _on(lambda d: metrics.losses(d.counts(), _oracle_scores(d), ["country"])),
+    "singletons": _on(lambda d: metrics.singletons(d.counts(), ["country"])),
+    "error_report": _on(lambda d: metrics.error_report(d.counts())),
+    "micro_scores": _on(lambda d: metrics.micro(d.counts())),
+    "slices": _on(lambda d: metrics.slices(d.counts(), {"everyone": F.lit(True), "exposed": splits.exposed(F.col("qid")), "fresh": ~splits.exposed(F.col("qid"))})),
+    "recall_in_pool": _on(lambda d: metrics.recall_in_pool(d.truth, d.pool.where(~F.col("tid").endswith("5")), d.structured(), 10)),
+    "recall_gates": _on(lambda d: metrics.recall_gates(metrics.counts(d.required(), d.truth, d.structured()))),
+    "depth_frontier": _on(lambda d: metrics.depth_frontier(d.required(), d.truth, d.fused(), DEPTHS)),
+    "match_histogram": _on(lambda d: d.n_true().groupBy(splits.match_bucket(F.col("n_true")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))),
+    "score_summary": _on(lambda d: d.scored().groupBy("is_match").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.round(F.percentile("p", 0.5), 6).alias("median"))),
+    "bootstrap": _on(_bootstrap),
+    "id_lists": _on(_lists),
+    "validator": _on(_validator),
+    "validate_pairs": _on(_pairs_check),
+    "validate_chunks": _on(_chunks),
+    "outside_candidates": _on(lambda d: validate.outside(d.structured(), d.lexical())),
+    "bundle_parity": _on(lambda d: validate.parity(d.scored(), d.scored().where(F.col("is_match") == 1))),
+    "out_of_fold": _on(_model),
+}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
