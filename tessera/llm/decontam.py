@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The vocabulary is the benchmark's words. Their passage frequencies are counted over all documents.
+1. The vocabulary is the benchmark's words. Texts are turned into word numbers once; the words' passage frequencies are counted over all documents.
 2. A randomised SVD of the TF-IDF passages is computed in Spark: partitions multiply their part of
    the matrix with the sketch, the driver orthogonalises the sums. It is fitted on about
    ``SAMPLE_DOCS`` documents (by seeded rate) and all items; every passage of every document is
@@ -34,7 +34,9 @@ from tessera.llm import common
 
 ITEM_BLOCK, SAMPLE_DOCS = 4096, 6000
 BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 2
-LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.55, 0.6, 0.6
+LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.6
+#: Words in over exp(-LEAST_IDF) of all passages have no weight in the space; they still count for the subsequence.
+LEAST_IDF = 2.0
 _WORD = re.compile(r"\w+")
 
 
@@ -62,27 +64,46 @@ def read_items(rows: list[tuple]) -> Items:
     return Items(ids, lists, vocabulary)
 
 
-def _numbers(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts in a row: each word's number (-1 if unknown), its block, and each text's first block."""
-    lists = [[vocabulary.get(w, -1) for w in words(t)] for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    blocks = -(-sizes // BLOCK)
-    first = np.r_[0, blocks.cumsum()]
+def _kind(vocabulary: dict[str, int]) -> np.dtype:
+    return np.dtype("<u2" if len(vocabulary) < 0xFFFF else "<u4")
+
+
+def _number(vocabulary: dict[str, int]):
+    """Each text as the numbers of its words; the type's largest number is an unknown word."""
+    kind = _kind(vocabulary)
+    unknown, get = int(np.iinfo(kind).max), vocabulary.get
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for b in batches for x in common.chunks(b, "text", 1 << 20)):
+            data = [np.array([get(w, unknown) for w in words(t)], kind).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(data, pa.binary())], names=["doc_id", "text_hash", "numbers"])
+
+    return run
+
+
+def _blocks(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts in a row: each word's number (-1 if unknown), its block, each text's first block and first word."""
+    data = column.to_pylist()
+    sizes = np.fromiter(map(len, data), np.int64, len(data)) // kind.itemsize
+    first = np.r_[0, (-(-sizes // BLOCK)).cumsum()]
     start = np.r_[0, sizes.cumsum()]
-    number = np.fromiter((x for part in lists for x in part), np.int64, start[-1])
-    place = np.arange(start[-1]) - np.repeat(start[:-1], sizes)
-    return number, np.repeat(first[:-1], sizes) + place // BLOCK, first
+    number = np.frombuffer(b"".join(data), kind).astype(np.int64)
+    number[number == np.iinfo(kind).max] = -1
+    block = np.repeat(first[:-1], sizes) + (np.arange(start[-1]) - np.repeat(start[:-1], sizes)) // BLOCK
+    return number, block, first, start
 
 
 def _frequencies(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen, v = 0, np.zeros(len(vocabulary), np.int64), len(vocabulary)
-        for batch in batches:
-            for part in common.chunks(batch, "text"):
-                number, block, first = _numbers(part.column("text").to_pylist(), vocabulary)
-                n += int(first[-1])
-                known = number >= 0
-                seen += np.bincount(np.unique(block[known] * v + number[known]) % v, minlength=v) if known.any() else 0
+        n, v = 0, len(vocabulary)
+        seen = np.zeros(v, np.int64)
+        for part in (x for b in batches for x in common.chunks(b, "numbers", 512 << 10)):
+            number, block, first, _ = _blocks(part.column("numbers"), _kind(vocabulary))
+            n += int(first[-1])
+            known = number >= 0
+            pairs = np.sort(block[known] * v + number[known])
+            if len(pairs):
+                seen += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] % v, minlength=v)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, seen[some]].astype(np.int64))], names=["word", "n"])
 
@@ -121,9 +142,9 @@ def _gram_product(vocabulary: dict[str, int], idf: np.ndarray, q: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(q)
         for batch in batches:
-            for part in common.chunks(batch, "text", 1 << 20):
-                number, block, first = _numbers(part.column("text").to_pylist(), vocabulary)
-                known = number >= 0
+            for part in common.chunks(batch, "numbers", 256 << 10):
+                number, block, first, _ = _blocks(part.column("numbers"), _kind(vocabulary))
+                known = (number >= 0) & (idf[number] > 0)
                 number, block = number[known], block[known]
                 image = _passages(number, block, int(first[-1]), q * idf[:, None])
                 norm = np.bincount(block, idf[number] ** 2, int(first[-1]))
@@ -187,17 +208,18 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
         return (lcs(masks[item], sizes[item], near) / sizes[item], answer) if answer >= LEAST_ANSWER else (0.0, answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for b in batches for x in common.chunks(b, "text", 2 << 20)):
-            number, block, first = _numbers(part.column("text").to_pylist(), items.vocabulary)
+        for part in (x for b in batches for x in common.chunks(b, "numbers", 256 << 10)):
+            number, block, first, start = _blocks(part.column("numbers"), _kind(items.vocabulary))
             n = int(first[-1])
-            window = _unit(_windows(_passages(number, block, n, table), first))
+            heavy = (number >= 0) & (idf[number] > 0)
+            window = _unit(_windows(_passages(number[heavy], block[heavy], n, table), first))
             begin = np.searchsorted(block, np.arange(n + 1))
             found: dict[tuple[int, int], tuple] = {}
             for lo in range(0, n, 8192):
                 cosine = window[lo : lo + 8192] @ wanted.T
-                for at, item in np.argwhere(cosine >= LEAST_COSINE).tolist():
-                    doc = int(np.searchsorted(first, lo + at, "right")) - 1
-                    low, high = int(begin[first[doc]]), int(begin[first[doc + 1]])
+                place, which = np.nonzero(cosine >= LEAST_COSINE)
+                for at, item, doc in zip(place.tolist(), which.tolist(), (np.searchsorted(first, lo + place, "right") - 1).tolist(), strict=True):
+                    low, high = int(start[doc]), int(start[doc + 1])
                     margin = sizes[item]
                     a, b = max(low, int(begin[lo + at]) - margin), min(high, int(begin[min(lo + at + 2, n)]) + margin)
                     common_, answer = judge(item, number[a:b].tolist())
@@ -230,17 +252,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     asked = benchmark.select(F.col(item).cast(kinds["item_id"]).alias("item_id"), common.as_text(item_text).alias("text")).distinct()
     n_items, n_docs = asked.count(), rows.count()
     blocks = -(-n_items // ITEM_BLOCK)
-    sample = common.Scratch(spark, "decontam").put(rows.select("text").where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, SAMPLE_DOCS / max(1, n_docs)))), "sample")
+    scratch = common.Scratch(spark, "decontam")
+    some = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, SAMPLE_DOCS / max(1, n_docs)))
+    numbered = f"doc_id {kinds['doc_id']}, text_hash bigint, numbers binary"
     out = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64(F.lit(13), "item_id", "text"), F.lit(blocks)) == b)
         items = read_items(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x)))
         if not items.ids:
             continue
-        counts = {r["word"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(items.vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+        words_ = scratch.put(rows.mapInArrow(_number(items.vocabulary), numbered), f"words-{b}")
+        counts = {r["word"]: r["n"] for r in words_.select("numbers").mapInArrow(_frequencies(items.vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
         seen = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], float)
         idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + 0.05
-        part = rows.mapInArrow(_search(items, idf, latent(sample, items, idf)), shape)
+        if (heavy := idf >= LEAST_IDF).any():  # else all words are as frequent: a tiny corpus
+            idf = np.where(heavy, idf, 0.0)
+        space = latent(scratch.put(words_.where(some).select("numbers"), f"sample-{b}"), items, idf)
+        part = words_.mapInArrow(_search(items, idf, space), shape)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], shape)
 
