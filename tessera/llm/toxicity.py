@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. Voters are patterns that speak for toxicity: a built-in lexicon, style patterns, and the words and
-   word beginnings that toxic labelled texts hold far more often than others.
+   word beginnings (in one word, or in several) that toxic labelled texts hold far more often than others.
 2. A generative model of the votes estimates, by expectation maximisation, how often each voter fires
    on either class. The given labels are one more voter, whose errors are estimated too. Voters that
    are correlated within a class share one vote: a voter's weight is one over the sum of its squared
@@ -34,6 +34,8 @@ from tessera.llm import common
 SAMPLE_ROWS, CLEAN_TIMES, MAX_VOTERS = 4000, 3, 384
 #: A mined voter needs this log-likelihood ratio against independence, as millions of patterns are tried.
 LEAST_LLR = 45.0
+#: The same over distinct words, for beginnings that few toxic texts have, but each of them in many words.
+LEAST_WORD_LLR = 50.0
 THRESHOLD = 0.3
 #: Insults that vote before anything is learned.
 LEXICON = ("idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumbass", "scum", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "garbage", "clown", "freak", "vermin", "bastard", "bitch", "asshole", "retard", "whore", "slut", "shut up", "kill yourself")
@@ -47,17 +49,31 @@ def _patterns(words: set[str]) -> Iterator[str]:
         if len(w) >= 3:
             yield "=" + w
     for k in _PREFIXES:
-        for w in {w[:k] for w in words if len(w) > k}:
+        for w, n in Counter(w[:k] for w in words if len(w) > k).items():
             yield "^" + w
+            if n > 1:
+                yield "%" + w
+
+
+_MINED = ["toxic", "clean", "toxic_words", "clean_words"]
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold a pattern, by label, and their distinct words that do; all words as the pattern ``#``."""
     tally: tuple[Counter, Counter] = (Counter(), Counter())
+    inside: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            tally[toxic].update(_patterns(set(_WORD.findall(text.lower()))))
-    names = [x for x, n in tally[1].items()]
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][x] for x in names], pa.int64()), pa.array([tally[0][x] for x in names], pa.int64())], names=["pattern", "toxic", "clean"])
+            words = set(_WORD.findall(text.lower()))
+            tally[toxic].update(_patterns(words))
+            inside[toxic]["#"] += len(words)
+            for k in _PREFIXES:
+                for w, n in Counter(w[:k] for w in words if len(w) > k).items():
+                    inside[toxic]["^" + w] += n
+                    inside[toxic]["%" + w] += n if n > 1 else 0
+    names = ["#", *tally[1]]
+    columns = [tally[1], tally[0], inside[1], inside[0]]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in columns)], names=["pattern", *_MINED])
 
 
 @dataclass
@@ -70,8 +86,8 @@ class Voters:
 
     def __post_init__(self) -> None:
         self.place = {x: i for i, x in enumerate(self.names)}
-        self.lengths = tuple(sorted({len(x) - 1 for x in self.names if x[0] == "^"}))
-        self.starts = {k: {x[1:] for x in self.names if x[0] == "^" and len(x) == k + 1} for k in self.lengths}
+        self.lengths = tuple(sorted({len(x) - 1 for x in self.names if x[0] in "^%"}))
+        self.starts = {k: {x[1:] for x in self.names if x[0] in "^%" and len(x) == k + 1} for k in self.lengths}
         self.whole = {x[1:] for x in self.names if x[0] == "=" and " " not in x}
         self.phrases = [x[1:] for x in self.names if x[0] == "=" and " " in x]
 
@@ -80,7 +96,8 @@ class Voters:
         words = set(_WORD.findall(low))
         found = [self.place["=" + x] for x in words & self.whole]
         for k in self.lengths:
-            found += [self.place["^" + x] for x in {w[:k] for w in words} & self.starts[k] if any(len(w) > k and w.startswith(x) for w in words)]
+            for x, n in Counter(w[:k] for w in words if len(w) > k and w[:k] in self.starts[k]).items():
+                found += [self.place[y] for y in ("^" + x, "%" + x)[: min(n, 2)] if y in self.place]
         found += [self.place["=" + x] for x in self.phrases if x in low]
         return found + [self.place[k] for k, rx in _STYLE.items() if k in self.place and rx.search(text)]
 
@@ -110,9 +127,14 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, first: np.nda
         mass, rest = posterior.sum(), (1 - posterior).sum()
         on = (posterior @ votes + 0.5) / (mass + 2)
         off = ((1 - posterior) @ votes + 0.5) / (rest + 2)
-        left = votes - (np.outer(posterior, on) + np.outer(1 - posterior, off))
-        spread = np.sqrt((left**2).mean(axis=0)) + 1e-3
-        together = (left.T @ left) / len(left) / np.outer(spread, spread) if len(left) else np.eye(votes.shape[1])
+        # residual products without the residuals: V - q on' - (1 - q) off'
+        q, r = posterior.astype(votes.dtype), (1 - posterior).astype(votes.dtype)
+        vq, vr, qq, qr, rr = votes.T @ q, votes.T @ r, float(q @ q), float(q @ r), float(r @ r)
+        together = (votes.T @ votes).astype(float) - np.outer(vq, on) - np.outer(on, vq) - np.outer(vr, off) - np.outer(off, vr)
+        together += qq * np.outer(on, on) + rr * np.outer(off, off) + qr * (np.outer(on, off) + np.outer(off, on))
+        together /= max(len(votes), 1)
+        spread = np.sqrt(np.maximum(np.diag(together), 0)) + 1e-3
+        together /= np.outer(spread, spread)
         weight = 1 / np.maximum(1, (together**2).sum(axis=1))
         # the label voter's errors, with a prior as heavy as the labels themselves: 0.97 and 0.01
         n1, n0 = (gold == 1).sum() + 1, (gold == 0).sum() + 1
@@ -126,7 +148,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, first: np.nda
 
 def _logistic(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
+    x = np.c_[x, np.ones(len(x), x.dtype)]
     w, pull = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -159,18 +181,26 @@ def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     sample = scratch.put(rows.join(F.broadcast(marks.where(pick)), "_id").select("text", "toxic"), "sample")
     own = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = own.get(1, 0), own.get(0, 0)
-    mined = sample.mapInArrow(_mine, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    base = (n1 + 0.5) / (n0 + n1 + 1)
-    part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
-    all_ = F.col("toxic") + F.col("clean")
-    llr = 2 * (part(F.col("toxic"), all_ * base) + part(F.col("clean"), all_ * (1 - base)))
-    strong = mined.where((llr >= LEAST_LLR) & (F.col("toxic") / (n1 + 1) > 12 * F.col("clean") / (n0 + 1)))
+    mined = sample.mapInArrow(_mine, "pattern string, " + ", ".join(f"{c} long" for c in _MINED)).groupBy("pattern").agg(*[F.sum(c).alias(c) for c in _MINED])
+    mined = scratch.put(mined.where((F.col("toxic") >= 3) | (F.col("pattern") == "#")), "mined")
+    words = mined.where("pattern = '#'").collect()
+    w1, w0 = (words[0]["toxic_words"], words[0]["clean_words"]) if words else (0, 0)
+
+    def llr(on: str, off: str, share: float) -> Column:
+        """How far a pattern's counts are from independence of the label."""
+        part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
+        all_ = F.col(on) + F.col(off)
+        return 2 * (part(F.col(on), all_ * share) + part(F.col(off), all_ * (1 - share)))
+
+    by_texts = llr("toxic", "clean", (n1 + 0.5) / (n0 + n1 + 1)) >= LEAST_LLR
+    by_words = llr("toxic_words", "clean_words", (w1 + 0.5) / (w0 + w1 + 1)) >= LEAST_WORD_LLR
+    strong = mined.where((F.col("pattern") != "#") & (by_texts | by_words) & (F.col("toxic") / (n1 + 1) > 12 * F.col("clean") / (n0 + 1)))
     gain = (F.col("toxic") / max(n1, 1) - 4 * F.col("clean") / max(n0, 1)).alias("gain")
     found = strong.select("pattern", gain).where("gain > 0").orderBy(F.col("gain").desc(), "pattern").limit(MAX_VOTERS).collect()
     names = list(dict.fromkeys([*(r["pattern"] for r in found), *("=" + x for x in LEXICON), *_STYLE]))
     voters = Voters(names)
     cast = sample.mapInArrow(_vote(voters), "toxic int, votes array<int>").collect()
-    votes = np.zeros((len(cast) + 2, len(names)))
+    votes = np.zeros((len(cast) + 2, len(names)), np.float32)
     for i, r in enumerate(cast):
         votes[i, r["votes"]] = 1
     # two rows stand for what is known before: a toxic text of the lexicon, and a clean one
@@ -178,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     gold = np.array([r["toxic"] for r in cast] + [1, 0])
     posterior, rates = label_model(votes, gold, (n1 + 1) / (n0 + n1 + 2))
     share = np.where(gold == 1, 1 / max(rate.get(1, 1), 1e-9), 1 / max(rate.get(0, 1), 1e-9))
-    x = np.c_[votes, np.log1p(votes.sum(axis=1))]
+    x = np.c_[votes, np.log1p(votes.sum(axis=1))].astype(np.float32)
     w = _logistic(x, posterior, share * len(share) / share.sum())
     return Model(voters, w[:-1], float(w[-1]), rates)
 
