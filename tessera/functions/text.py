@@ -161,6 +161,19 @@ def search_ascii(x: Column, words: Mapping[str, str] | None = None) -> Column:
     return expand(y, words) if words else y
 
 
+def loose_view(x: Column, words: Mapping[str, str] | None = None) -> Column:
+    """Casefolded words of any script, marks dropped with the punctuation, each by its entry in one merged table."""
+    merged = {k: v for table in (LEGAL_FORMS, STREET_WORDS) for c in ("US", "India", "France") for k, v in table[c].items()}
+    y = collapse(F.regexp_replace(fold(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{Nd}_\s]", " "))
+    return expand(y, words or merged)
+
+
+def plain_ascii_view(x: Column, words: Mapping[str, str] | None = None) -> Column:
+    """Accent-folded lower-case ASCII words, each by its entry in a small table."""
+    y = collapse(F.regexp_replace(F.lower(_latin(F.coalesce(x, F.lit("")))), r"[^a-z0-9\s]", " "))
+    return expand(y, words or LEGAL_FORMS["__default__"])
+
+
 def first_postal(x: Column) -> Column:
     return F.regexp_extract(F.coalesce(x, F.lit("")), r"(?<!\p{Nd})(\p{Nd}{5,6})(?!\p{Nd})", 1)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tessera.operators.splits import exposed
+
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 
@@ -37,6 +39,11 @@ def truth(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, TRUTH).select(F.col("source1_entity_id").alias("qid"), id_list(F.col("matched_entity_ids")).alias("ids"))
 
 
+def held_truth(spark: SparkSession, path: str) -> DataFrame:
+    """The truth of the ids that the exposure hash selects."""
+    return truth(spark, path).where(exposed(F.col("qid")))
+
+
 def id_lists(spark: SparkSession, path: str, column: str) -> DataFrame:
     schema = T.StructType([T.StructField("source1_entity_id", T.StringType()), T.StructField(column, T.StringType())])
     return tsv(spark, path, schema).select(F.col("source1_entity_id").alias("qid"), id_list(F.col(column)).alias("ids"))

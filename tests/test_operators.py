@@ -107,6 +107,8 @@ def test_normalisation(spark):
     assert one(spark, text.search_ascii(F.col("s")), s="Ho1y Ministries - 1535566039") == "holy ministries"
     assert one(spark, text.search_ascii(F.col("s")), s="quinlandentalassociates.com") == "quinlandentalassociates"
     assert one(spark, text.unicode_view(F.col("s")), s="Straße & Co") == "strasse and co"
+    assert one(spark, text.loose_view(F.col("s")), s="Acme, Inc. (Rd)") == "acme incorporated road"
+    assert one(spark, text.plain_ascii_view(F.col("s")), s="Société Ltd.") == "societe limited"
 
 
 @pytest.mark.parametrize(("word", "want"), [("Tymczak", "T520"), ("Pfister", "P123"), ("12ab", "A100"), ("", "")])
@@ -148,6 +150,8 @@ def test_dense(spark):
     got = dense.search(q, p, 2).where("rank = 1").orderBy("qid").collect()
     assert [r["tid"] for r in got] == ["P1", "P2"]
     assert dense.search(q.limit(0), p, 2).collect() == []
+    vectors = dense.encode(spark.createDataFrame([("a", "xx"), ("b", None)], "id string, text string"), "id", lambda texts: [[len(t), 0.0] for t in texts])
+    assert {r["id"]: r["v"] for r in vectors.collect()} == {"a": [1.0, 0.0], "b": [0.0, 0.0]}
     t = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "t array<array<double>>, m array<int>")
     a, b = (r["v"] for r in t.select(dense.mean_pool(F.col("t"), F.col("m")).alias("v")).collect())
     assert a == pytest.approx([0.5**0.5] * 2) and b == [0.0, 0.0]
@@ -203,6 +207,7 @@ def test_files(spark, tmp_path):
     assert body == "source1_entity_id\tmatched_entity_ids\nS1-1\t\nS1-2\tS2-9,S3-1\n"
     back = {r["qid"]: r["ids"] for r in tables.truth(spark, str(tmp_path / "out")).collect()}
     assert back == {"S1-1": [], "S1-2": ["S2-9", "S3-1"]}
+    assert tables.held_truth(spark, str(tmp_path / "out")).count() <= 2
     with pytest.raises(ValueError):
         tables.id_lists(spark, str(tmp_path / "out"), "candidate_entity_ids").collect()
     sinks.write_json(str(tmp_path / "m.json"), {"query_ids": ["S1-1", "S1-2"], "seed": "x"})
