@@ -182,13 +182,16 @@ def ranges(rows: DataFrame, unit: Unit, kernel: Kernel, spread: Callable[[DataFr
         F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min("doc").alias("first"), F.min("dk").alias("dk"), F.min_by("doc", "dk").alias("doc"), F.min_by("pos", "dk").alias("pos")
     )
     segs = scratch.put(segs, "segs")
-    segs = segs.join(segs.groupBy("fp").agg(F.count(F.lit(1)).alias("segs")), "fp")
+    # a table of its own, so that Spark can split the rows of a frequent key in the join
+    kinds = scratch.put(segs.groupBy("fp").agg(F.count(F.lit(1)).alias("segs")), "kinds")
+    segs = scratch.put(segs.join(kinds, "fp"), "kinded")
+    scratch.drop("segs")
     settled = segs.where(F.col("segs") == 1).select("fp", "seg", F.array(F.struct(F.lit(0).alias("at"), "n", "first")).alias("runs"))
     wanted = F.collect_list(F.struct("fp", "seg", "pos", "n", "members", "first", "segs")).alias("wanted")
     places = segs.where(F.col("segs") > 1).groupBy("dk", F.col("doc").alias("_doc")).agg(wanted).withColumnRenamed("dk", "_dk")
     texts = rows.join(places, (F.col("dk") == F.col("_dk")) & F.col("doc").eqNullSafe(F.col("_doc")))
     shape = f"fp long, seg long, n int, members long, first {kind}, segs long, data binary"
-    content = scratch.put(texts.select("text", "wanted").mapInArrow(_content(unit), shape), "content")
+    content = scratch.put(texts.select("text", "wanted").mapInArrow(common.small(_content(unit)), shape), "content")
     known = content.where(F.col("segs") <= HOT_SEGMENTS).repartition("fp").sortWithinPartitions("fp", "seg").mapInArrow(kernel, f"fp long, seg long, runs {run_kind}")
     found = scratch.put(known.unionByName(spread(content.where(F.col("segs") > HOT_SEGMENTS).dropDuplicates(["fp", "seg"]), scratch)).unionByName(settled), "found")
     scratch.drop("content")

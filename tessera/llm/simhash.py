@@ -12,11 +12,13 @@ node once they exceed the radius. A task returns a spanning forest of its links,
 
 A 64-bit fingerprint is too coarse for a similarity of 0.8: at that Jaccard similarity of shingles
 about 10 of 64 bits differ, with a wide spread. Near-duplicate removal (:func:`deduplicate`) therefore
-takes ``NEAR_LANES`` words of fingerprint from mixes of the same hash and links at ``NEAR_RADIUS`` bits;
-its groups are bands of ``BAND_BITS`` bits. At similarity 0.8 a pair shares a band with probability 0.98.
+takes ``NEAR_LANES`` words of fingerprint from mixes of the same hash and links at ``NEAR_RADIUS`` bits.
+Its groups are bands of bits. A band has as many bits as keep a group of unlike texts near ``GROUP_MEAN``
+rows, and there are as many bands as let a pair at similarity 0.8 share none with probability
+``MISSED`` (:func:`bands_for`), from further words if need be: the same recall at every size.
 
-Components over distinct fingerprints are smallest labels, spread along links with pointer jumping;
-each round is a table in the shared folder.
+Components over distinct fingerprints come from contracting links; each round is a table in the shared
+folder.
 
 Defined cases: a null or wordless text has fingerprint 0, linked like any other; a text with fewer
 words than a shingle is one shingle; null ids are never a component's id while it has another;
@@ -25,6 +27,7 @@ repeated rows are one document; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, repeat
 
@@ -39,12 +42,20 @@ SEED, RADIUS = 42, 3
 WORDS, NEAR_WORDS = 3, 5
 GROUP_ROWS, FAN = 4096, 8
 #: 512 bits, of which 15 % differ at a Jaccard similarity of 0.8: 77 +- 8.
-NEAR_LANES, NEAR_RADIUS, BAND_BITS = 8, 90, 14
+NEAR_LANES, NEAR_RADIUS, NEAR_AGREE = 8, 100, 0.849
+GROUP_MEAN, LEAST_BITS, MISSED = 256, 13, 0.007
 #: Rows of whole groups that a task indexes at once, and candidate pairs that a search holds.
-INDEX_ROWS, FRONTIER = 200_000, 2_000_000
+INDEX_ROWS, FRONTIER = 100_000, 1_000_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def bands_for(rows: int) -> tuple[int, int, int]:
+    """Bits of a band, bands, and words of fingerprint for so many texts."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, rows / GROUP_MEAN))))
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(NEAR_AGREE**bits)))
+    return bits, bands, max(NEAR_LANES, -(-bits * bands // 64))
+
+
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     """Another 64 bits from a hash; lane 0 is the hash itself."""
     if not lane:
@@ -196,22 +207,29 @@ def _links(radius: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            words = _words(part.column("fp").to_pylist())
-            bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
-            n = bits.shape[1] // BAND_BITS
-            value = bits[:, : n * BAND_BITS].reshape(-1, n, BAND_BITS) @ (1 << np.arange(BAND_BITS, dtype=np.int64))
-            key = (value + (np.arange(n) << BAND_BITS)).ravel()
-            row = pa.array(np.repeat(np.arange(part.num_rows), n))
-            yield pa.RecordBatch.from_arrays([pa.array(key), part.column("v").take(row), part.column("fp").take(row)], names=["key", "v", "fp"])
+def _bands(bits: int, bands: int):
+    place = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                prints = part.column("fp").to_pylist()
+                all_ = np.unpackbits(_words(prints).astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
+                key = all_[:, : bands * bits].reshape(-1, bands, bits) @ place + (np.arange(bands) << bits)
+                row = pa.array(np.repeat(np.arange(len(prints)), bands))
+                compared = pa.array([x[: 8 * NEAR_LANES] for x in prints], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column("v").take(row), compared.take(row)], names=["key", "v", "fp"])
+
+    return run
+
 
+def near_links(nodes: DataFrame, radius: int = RADIUS, bands: tuple[int, int] | None = None) -> DataFrame:
+    """Links (a, b) of vertices (v, fp): their components are those of all candidate links within the radius.
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
-    """Links (a, b) of vertices (v, fp): their components are those of all candidate links within the radius."""
-    if lanes > 1:
-        groups = nodes.select("v", "fp").mapInArrow(_bands, "key long, v long, fp binary")
+    Without ``bands`` (bits of one, how many) the fingerprints have 64 bits and no link is missed.
+    """
+    if bands:
+        groups = nodes.select("v", "fp").mapInArrow(_bands(*bands), "key long, v long, fp binary")
     else:
         blocks = radius + 1
         wide = 64 // blocks
@@ -226,36 +244,49 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFr
 
 
 def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """v, label: the smallest vertex of each vertex's component, for vertices with links (a, b)."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.put(both, "links")
-    labels = scratch.put(both.groupBy(F.col("a").alias("v")).agg(F.min(F.least("a", "b")).alias("label")), "labels-0")
-    total, step = None, 0
-    while True:
-        step += 1
-        seen = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("seen"))
-        better = labels.join(seen, "v").select("v", F.least("label", "seen").alias("label"))
-        up = better.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        now = scratch.put(better.join(up, "label", "left").select("v", F.least("label", F.coalesce("up", "label")).alias("label")), f"labels-{step}")
-        new = now.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count(F.lit(1))).collect()[0]
-        scratch.drop(f"labels-{step - 1}")
-        labels = now
-        if new == total:
-            return labels
-        total = new
-
-
-def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, lanes: int = NEAR_LANES) -> DataFrame:
-    """doc_id, text_hash, fp, component_id, and stays: whether it is its component's first document."""
+    """v, label: one vertex of each component for all its vertices with links (a, b), by contraction.
+
+    Each round takes every vertex to the smallest of itself and its neighbours and keeps the links
+    between different ones. A star or a dense group is gone after a round; the rounds then resolve
+    backwards.
+    """
+    edge = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    open_ = scratch.put(links.select(*edge("a", "b")).where("a < b").distinct(), "links-0")
+    rounds: list[DataFrame] = []
+    while not open_.isEmpty():
+        n = len(rounds)
+        ends = open_.select("a", F.explode(F.array("a", "b")).alias("v"))
+        labels = scratch.put(ends.groupBy("v").agg(F.min("a").alias("label")), f"labels-{n}")
+        half = open_.join(labels.select(F.col("v").alias("a"), F.col("label").alias("x")), "a").select("x", "b")
+        whole = half.join(labels.select(F.col("v").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+        open_ = scratch.put(whole.select(*edge("x", "y")).distinct(), f"links-{n + 1}")
+        rounds.append(labels)
+    if not rounds:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("label")).limit(0)
+    out = rounds.pop()
+    while rounds:
+        later = out.select(F.col("v").alias("label"), F.col("label").alias("up"))
+        out = rounds.pop().join(later, "label", "left").select("v", F.coalesce("up", "label").alias("label"))
+    return scratch.put(out, "components")
+
+
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, exact: bool = False) -> DataFrame:
+    """doc_id, text_hash, fp, component_id, and stays: whether it is its component's first document.
+
+    With ``exact``, 64-bit fingerprints linked at ``RADIUS``; else the wide ones, for similarity 0.8.
+    """
+    bits, n_bands, lanes = (0, 0, 1) if exact else bands_for(docs.count())
     scratch = common.Scratch(docs.sparkSession, "simhash")
     rows = docs.select(F.col(doc).alias("doc_id"), common.as_text(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = scratch.put(rows.mapInArrow(_prints(words, lanes), f"doc_id {kind}, text_hash long, v long, fp binary"), "prints")
+    prints = scratch.put(rows.mapInArrow(common.small(_prints(words, lanes)), f"doc_id {kind}, text_hash long, v long, fp binary"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first")
     nodes = scratch.put(prints.groupBy("v").agg(first, F.min("fp").alias("fp")), "nodes")
-    labels = components(scratch.put(near_links(nodes, radius, lanes), "found"), scratch)
-    named = nodes.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    heads = named.select("v", "label").join(named.groupBy("label").agg(F.min("first").alias("head")), "label").select("v", "head")
+    labels = components(scratch.put(near_links(nodes, *((RADIUS, None) if exact else (NEAR_RADIUS, (bits, n_bands)))), "found"), scratch)
+    named = scratch.put(nodes.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")), "named")
+    # a table of its own, so that Spark can split the rows of a large component in the join
+    firsts = scratch.put(named.groupBy("label").agg(F.min("first").alias("head")), "firsts")
+    heads = scratch.put(named.select("v", "label").join(firsts, "label").select("v", "head"), "heads")
     mine = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
     return prints.join(heads, "v").select("doc_id", "text_hash", "fp", F.col("head.doc_id").alias("component_id"), (mine == F.col("head")).alias("stays"))
 
@@ -269,5 +300,5 @@ def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(common.documents(spark, sf_dir), words=WORDS, radius=RADIUS, lanes=1)
+    found = classes(common.documents(spark, sf_dir), words=WORDS, exact=True)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -101,7 +101,7 @@ def _spread(hot: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Very frequent keys: the same, with one row a window instead of an automaton."""
     kind = hot.schema["first"].dataType.simpleString()
     rows = scratch.put(hot.mapInArrow(_windows, f"h1 long, h2 long, fp long, seg long, first {kind}, at int"), "windows")
-    least = rows.groupBy("h1", "h2").agg(F.min("first").alias("least"))
+    least = scratch.put(rows.groupBy("h1", "h2").agg(F.min("first").alias("least")), "least")
     runs = F.sort_array(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.col("least").alias("first"))))
     return rows.join(least, ["h1", "h2"]).groupBy("fp", "seg").agg(runs.alias("runs"))
 
@@ -129,7 +129,7 @@ def remove(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     arrow = pa.string() if kind.simpleString() == "string" else pa.int64() if kind.simpleString() == "bigint" else pa.int32()
     found = segments.ranges(rows, UNIT, _kernel(arrow), _spread, scratch, ordered=True)
     shape = f"doc_id {kind.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string"
-    return segments.with_ranges(rows, found).mapInArrow(_keep, shape)
+    return segments.with_ranges(rows, found).mapInArrow(common.small(_keep), shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
