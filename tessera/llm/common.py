@@ -12,7 +12,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _delete(path: str) -> None:
     spark = SparkSession.getActiveSession()
+    if spark is None:  # the session has been stopped: what is on this machine can still go
+        if path.startswith(("file:/", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
     with contextlib.suppress(Exception):
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -112,3 +116,12 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def small(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: str = "text", limit: int = 2 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over slices with little text each, so that what a worker holds has a bound."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(part for batch in batches for part in chunks(batch, column, limit))
+
+    return sliced

@@ -13,7 +13,8 @@
 
 The benchmark goes through in blocks of ``ITEM_BLOCK`` items, so what a task holds has a bound.
 
-Defined cases: null texts are empty and match nothing; items without words are never found; an item
+Defined cases: null texts are empty and match nothing; items without words, or with none but words that
+over an eighth of all passages hold, are never found; an item
 that occurs twice in a document is one row, with its best place; repeated rows of the benchmark are
 one item, repeated documents have their own rows; empty tables give no rows; other columns are not
 read.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import common
 
-ITEM_BLOCK, SAMPLE_DOCS = 4096, 6000
+ITEM_BLOCK, SAMPLE_DOCS, SAMPLE_PARTS = 4096, 6000, 16
 BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 2
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.6
 #: Words in over exp(-LEAST_IDF) of all passages have no weight in the space; they still count for the subsequence.
@@ -267,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + 0.05
         if (heavy := idf >= LEAST_IDF).any():  # else all words are as frequent: a tiny corpus
             idf = np.where(heavy, idf, 0.0)
-        space = latent(scratch.put(words_.where(some).select("numbers"), f"sample-{b}"), items, idf)
+        space = latent(scratch.put(words_.where(some).select("numbers").repartition(SAMPLE_PARTS), f"sample-{b}"), items, idf)
         part = words_.mapInArrow(_search(items, idf, space), shape)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], shape)

@@ -174,7 +174,7 @@ def build_index(docs: DataFrame, scratch: common.Scratch, doc: str = "doc_id", t
     """The index: id, text, row (a struct of the columns in ``carry``), key, chain, group_size, n_points, text_sha256."""
     spark = docs.sparkSession
     plain = docs.select(common.as_text(text).alias("text"))
-    sizes = plain.mapInArrow(_profile, "prefix int, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes")).collect()
+    sizes = plain.mapInArrow(common.small(_profile), "prefix int, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes")).collect()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     total = sum(r["bytes"] for r in sizes)
     capacity = max(LEAST_BUCKET, min(BUCKET_BYTES, total // (BUCKETS_A_PARTITION * parts)))
@@ -203,7 +203,7 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     index = build_index(docs, scratch, doc, text).select("key", "text_sha256", "group_size", F.col("id").alias("keep_id"), "n_points")
     rows = docs.select(F.col(doc).alias("id"), common.as_text(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_digests, f"doc_id {kind}, points long, key long, text_sha256 string").join(index, ["key", "text_sha256"])
+    found = rows.mapInArrow(common.small(_digests), f"doc_id {kind}, points long, key long, text_sha256 string").join(index, ["key", "text_sha256"])
     first = F.row_number().over(W.partitionBy("doc_id", "text_sha256").orderBy(F.col("points").desc()))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("n_points")) & (F.col("_first") == 1)
     return found.withColumn("_first", first).select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")

@@ -213,7 +213,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def consensus(pages: DataFrame) -> DataFrame:
     """Winning paths by host: host, paths (most votes first). ``pages`` has host and html."""
-    tally = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, score double")
+    tally = pages.select("host", "html").mapInArrow(common.small(_votes, "html"), "host string, path string, votes long, score double")
     tally = tally.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     tally = tally.withColumn("all", F.sum("votes").over(W.partitionBy("host"))).where(F.col("votes") >= MIN_VOTES * F.col("all"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.round("score", 3)).alias("s"), "path")))
@@ -229,7 +229,7 @@ def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", htm
     few = paths.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "paths")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return joined.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, path string")
+    return joined.mapInArrow(common.small(_extract, "html"), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, path string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

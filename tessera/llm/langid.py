@@ -69,7 +69,7 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
         return [], np.zeros((0, GRAMS), np.float64)
     limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_000, math.ceil(1e6 * sample_rows / n)))])
     some = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < limit[F.col("lang")])
-    counts = some.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = some.select("lang", "text").mapInArrow(common.small(_count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(x for x in sizes if (counts["lang"] == x).any())
     table = np.zeros((len(langs), GRAMS))
     for i, name in enumerate(langs):
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc: str = "d
     """doc_id, held_out (``mark``), lang_pred, score, languages (array of lang and share)."""
     rows = docs.select(F.col(doc).alias("doc_id"), (F.lit(False) if mark is None else mark).alias("held_out"), common.as_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predictor(*model), f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+    return rows.mapInArrow(common.small(_predictor(*model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

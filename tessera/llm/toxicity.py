@@ -37,6 +37,8 @@ LEAST_LLR = 45.0
 #: The same over distinct words, for beginnings that few toxic texts have, but each of them in many words.
 LEAST_WORD_LLR = 50.0
 THRESHOLD = 0.3
+#: Patterns that a task counts before it hands them on.
+TALLIED = 150_000
 #: Insults that vote before anything is learned.
 LEXICON = ("idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumbass", "scum", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "garbage", "clown", "freak", "vermin", "bastard", "bitch", "asshole", "retard", "whore", "slut", "shut up", "kill yourself")
 _STYLE = {"~bangs": re.compile(r"!!"), "~masked": re.compile(r"[^\W\d_][*#@$]{2,}[^\W\d_]"), "~shout": re.compile(r"(?:\b[A-Z]{3,}\b[^\w]+){3}")}
@@ -44,36 +46,74 @@ _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
 
 
-def _patterns(words: set[str]) -> Iterator[str]:
+def _patterns(words: set[str]) -> Iterator[tuple[str, int]]:
+    """Patterns and the words that they are in."""
     for w in words:
         if len(w) >= 3:
-            yield "=" + w
+            yield "=" + w, 1
     for k in _PREFIXES:
         for w, n in Counter(w[:k] for w in words if len(w) > k).items():
-            yield "^" + w
+            yield "^" + w, n
             if n > 1:
-                yield "%" + w
+                yield "%" + w, n
 
 
-_MINED = ["toxic", "clean", "toxic_words", "clean_words"]
+def _mine(wanted: set[str] | None):
+    """pattern, texts, words: texts that hold a pattern and the distinct words that do; all words as ``#``.
 
+    With ``wanted``, these patterns only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, inside = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            names = ["#", *texts]
+            made = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in (texts, inside))], names=["pattern", "texts", "words"])
+            texts.clear()
+            inside.clear()
+            return made
+
+        for batch in batches:
+            if len(texts) > TALLIED:
+                yield out()
+            for text in batch.column("text").to_pylist():
+                words = set(_WORD.findall(text.lower()))
+                inside["#"] += len(words)
+                for pattern, n in _patterns(words):
+                    if wanted is None or pattern in wanted:
+                        texts[pattern] += 1
+                        inside[pattern] += n
+        yield out()
+
+    return run
+
+
+def _llr(on: float, off: float, share: float) -> float:
+    """How far two counts are from a split by ``share``."""
+    part = lambda n, of: n * math.log(n / of) if n else 0.0
+    return 2 * (part(on, (on + off) * share) + part(off, (on + off) * (1 - share)))
+
+
+def mine(sample: DataFrame, n1: int, n0: int) -> list[str]:
+    """The patterns that speak for toxicity most, at most ``MAX_VOTERS``."""
+
+    def counted(toxic: int, wanted: set[str] | None, least: float) -> dict[str, tuple[int, int]]:
+        found = sample.where(F.col("toxic") == toxic).mapInArrow(common.small(_mine(wanted)), "pattern string, texts long, words long")
+        found = found.groupBy("pattern").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"))
+        return {r["pattern"]: (r["texts"], r["words"]) for r in found.where((F.col("texts") >= least) | (F.col("pattern") == "#")).collect()}
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that hold a pattern, by label, and their distinct words that do; all words as the pattern ``#``."""
-    tally: tuple[Counter, Counter] = (Counter(), Counter())
-    inside: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = set(_WORD.findall(text.lower()))
-            tally[toxic].update(_patterns(words))
-            inside[toxic]["#"] += len(words)
-            for k in _PREFIXES:
-                for w, n in Counter(w[:k] for w in words if len(w) > k).items():
-                    inside[toxic]["^" + w] += n
-                    inside[toxic]["%" + w] += n if n > 1 else 0
-    names = ["#", *tally[1]]
-    columns = [tally[1], tally[0], inside[1], inside[0]]
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in columns)], names=["pattern", *_MINED])
+    on = counted(1, None, max(3, 0.002 * n1))
+    off = counted(0, set(on), 1)
+    w1, w0 = on.get("#", (0, 0))[1], off.get("#", (0, 0))[1]
+    gains = []
+    for pattern, (texts, words) in on.items():
+        t0, w = off.get(pattern, (0, 0))
+        strong = _llr(texts, t0, (n1 + 0.5) / (n0 + n1 + 1)) >= LEAST_LLR or _llr(words, w, (w1 + 0.5) / (w0 + w1 + 1)) >= LEAST_WORD_LLR
+        gain = texts / max(n1, 1) - 4 * t0 / max(n0, 1)
+        if pattern != "#" and strong and gain > 0 and texts / (n1 + 1) > 12 * t0 / (n0 + 1):
+            gains.append((-gain, pattern))
+    return [pattern for _, pattern in sorted(gains)[:MAX_VOTERS]]
 
 
 @dataclass
@@ -181,25 +221,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     sample = scratch.put(rows.join(F.broadcast(marks.where(pick)), "_id").select("text", "toxic"), "sample")
     own = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = own.get(1, 0), own.get(0, 0)
-    mined = sample.mapInArrow(_mine, "pattern string, " + ", ".join(f"{c} long" for c in _MINED)).groupBy("pattern").agg(*[F.sum(c).alias(c) for c in _MINED])
-    mined = scratch.put(mined.where((F.col("toxic") >= 3) | (F.col("pattern") == "#")), "mined")
-    words = mined.where("pattern = '#'").collect()
-    w1, w0 = (words[0]["toxic_words"], words[0]["clean_words"]) if words else (0, 0)
-
-    def llr(on: str, off: str, share: float) -> Column:
-        """How far a pattern's counts are from independence of the label."""
-        part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
-        all_ = F.col(on) + F.col(off)
-        return 2 * (part(F.col(on), all_ * share) + part(F.col(off), all_ * (1 - share)))
-
-    by_texts = llr("toxic", "clean", (n1 + 0.5) / (n0 + n1 + 1)) >= LEAST_LLR
-    by_words = llr("toxic_words", "clean_words", (w1 + 0.5) / (w0 + w1 + 1)) >= LEAST_WORD_LLR
-    strong = mined.where((F.col("pattern") != "#") & (by_texts | by_words) & (F.col("toxic") / (n1 + 1) > 12 * F.col("clean") / (n0 + 1)))
-    gain = (F.col("toxic") / max(n1, 1) - 4 * F.col("clean") / max(n0, 1)).alias("gain")
-    found = strong.select("pattern", gain).where("gain > 0").orderBy(F.col("gain").desc(), "pattern").limit(MAX_VOTERS).collect()
-    names = list(dict.fromkeys([*(r["pattern"] for r in found), *("=" + x for x in LEXICON), *_STYLE]))
+    names = list(dict.fromkeys([*mine(sample, n1, n0), *("=" + x for x in LEXICON), *_STYLE]))
     voters = Voters(names)
-    cast = sample.mapInArrow(_vote(voters), "toxic int, votes array<int>").collect()
+    cast = sample.mapInArrow(common.small(_vote(voters)), "toxic int, votes array<int>").collect()
     votes = np.zeros((len(cast) + 2, len(names)), np.float32)
     for i, r in enumerate(cast):
         votes[i, r["votes"]] = 1
@@ -227,7 +251,7 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
     """doc_id, held_out (``mark``), score, predicted."""
     rows = docs.select(F.col(doc).alias("doc_id"), (F.lit(False) if mark is None else mark).alias("held_out"), common.as_text(text).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, _score double")
+    found = rows.mapInArrow(common.small(_scorer(model), "_text"), f"doc_id {kind}, held_out boolean, _score double")
     return found.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -235,7 +259,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that are not toxic, with all their columns."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), common.as_text(text).alias("_text"))
     kind = packed.schema["_row"].dataType.simpleString()
-    kept = packed.mapInArrow(_scorer(model), f"_row {kind}, _score double").where(F.col("_score") < THRESHOLD)
+    kept = packed.mapInArrow(common.small(_scorer(model), "_text"), f"_row {kind}, _score double").where(F.col("_score") < THRESHOLD)
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
