@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a kernel works on at once.
 CHUNK_BYTES = 8 << 20
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: shuffle files go with the job, and Arrow batches are small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Folders made so far. Names only: functions that run on executors carry this module's values.
 _made: list[str] = []
 
@@ -74,14 +75,16 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return it as read back; the shuffle files it took are freed at once."""
         conf = self.spark.conf
-        before = conf.get(_CLEAN, None)
+        before = {k: conf.get(k, None) for k in _WRITING}
         with contextlib.suppress(Exception):
-            conf.set(_CLEAN, "true")
+            for k, v in _WRITING.items():
+                conf.set(k, v)
         try:
             df.write.parquet(f"{self.path}/{name}")
         finally:
             with contextlib.suppress(Exception):
-                conf.set(_CLEAN, before) if before is not None else conf.unset(_CLEAN)
+                for k, v in before.items():
+                    conf.set(k, v) if v is not None else conf.unset(k)
         return self.get(df, name)
 
     def get(self, df: DataFrame, name: str) -> DataFrame:

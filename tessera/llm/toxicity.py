@@ -103,7 +103,7 @@ def mine(sample: DataFrame, n1: int, n0: int) -> list[str]:
         found = found.groupBy("pattern").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"))
         return {r["pattern"]: (r["texts"], r["words"]) for r in found.where((F.col("texts") >= least) | (F.col("pattern") == "#")).collect()}
 
-    on = counted(1, None, max(3, 0.002 * n1))
+    on = counted(1, None, max(3, 0.004 * n1))
     off = counted(0, set(on), 1)
     w1, w0 = on.get("#", (0, 0))[1], off.get("#", (0, 0))[1]
     gains = []
@@ -189,11 +189,12 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, first: np.nda
 def _logistic(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the bias."""
     x = np.c_[x, np.ones(len(x), x.dtype)]
+    row_weight, y = row_weight.astype(x.dtype), y.astype(x.dtype)
     w, pull = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30)))
         h = (x * (row_weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(pull)
-        move = np.linalg.solve(h, x.T @ (row_weight * (y - p)) - pull * w)
+        move = np.linalg.solve(h.astype(float), (x.T @ (row_weight * (y - p))).astype(float) - pull * w)
         w += np.clip(move, -4, 4)
         if np.abs(move).max() < 1e-4:
             break
