@@ -51,6 +51,21 @@ def sweep(scored: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
     return each.groupBy("ts", "tm").agg(F.round(F.avg(score), 9).alias("macro_f05"))
 
 
+# The weights that score fusion tries.
+FUSION_WEIGHTS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
+
+
+def sweep_fusion(scored: DataFrame, truth: DataFrame, policy: DataFrame, weights: Sequence[float] = FUSION_WEIGHTS, other: str = "cosine") -> DataFrame:
+    """w, macro_f05: the policy's result on (1 - w) p + w cosine, for each weight. ``truth`` has qid, n_true."""
+    each = scored.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights]))).withColumn("p", (1 - F.col("w")) * F.col("p") + F.col("w") * F.col(other))
+    # a query at a weight decides on its own
+    keyed = each.withColumn("_qid", F.col("qid")).withColumn("qid", F.concat_ws("|", "qid", "w"))
+    kept = apply_policy(keyed, policy).groupBy("w", F.col("_qid").alias("qid")).agg(F.count(F.lit(1)).alias("n_pred"), F.sum("is_match").alias("n_tp"))
+    all_ = truth.select("qid", "n_true", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("w"))
+    counts = all_.join(kept, ["w", "qid"], "left").na.fill(0, ["n_pred", "n_tp"])
+    return counts.groupBy("w").agg(F.round(F.avg(metrics.f05(F.col("n_true"), F.col("n_pred"), F.col("n_tp"))), 9).alias("macro_f05"))
+
+
 def best_cell(swept: DataFrame, prefer_high: bool = False) -> DataFrame:
     """The best cell; ties go to the smaller thresholds, or to the larger sum of them."""
     order = [F.col("macro_f05").desc(), (F.col("ts") + F.col("tm")).desc()] if prefer_high else [F.col("macro_f05").desc(), "ts", "tm"]

@@ -118,6 +118,15 @@ def recall_gates(counted: DataFrame) -> DataFrame:
     return some.withColumn("passes", F.col("recall_pct") >= gate)
 
 
+def hit_samples(truth: DataFrame, candidates: DataFrame, countries: DataFrame, n: int = 3) -> DataFrame:
+    """country, hit, qid, tid: the first few retrieved and missed links of each country, for a report."""
+    from pyspark.sql import Window as W
+
+    named = truth.join(candidates.select("qid", "tid").distinct().withColumn("_hit", F.lit(True)), ["qid", "tid"], "left").join(countries, "qid").withColumn("hit", F.coalesce("_hit", F.lit(False)))
+    order = W.partitionBy("country", "hit").orderBy("qid", "tid")
+    return named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("country", "hit", "qid", "tid")
+
+
 def depth_frontier(required: DataFrame, truth: DataFrame, ranking: DataFrame, depths: Sequence[int | None]) -> DataFrame:
     """The candidate report of one ranking cut at each depth (null: all of it)."""
     out = None

@@ -126,6 +126,18 @@ def _fuzzy(d: Data) -> DataFrame:
     return pairs.select("qid", "tid", q, t).select("qid", "tid", *[F.round(c, 9).alias(n) for n, c in features.fuzzy_features().items()])
 
 
+def _merged(d: Data) -> DataFrame:
+    """The earlier feature set without fuzzy ratios, of the lexical pairs."""
+    other = d.pool.select("tid", F.col("name").alias("other_name"), F.col("address").alias("other_address"), F.col("country").alias("other_country"))
+    pairs = d.lexical().join(d.queries, "qid").join(other, "tid")
+    return pairs.select("qid", "tid", *[F.round(c, 9).alias(n) for n, c in features.merged_exact().items()])
+
+
+def _fusion_weights(d: Data) -> DataFrame:
+    scored = d.scored().withColumn("cosine", pair_score(F.col("tid"), F.col("qid")))
+    return decision.sweep_fusion(scored, d.n_true(), d.spark.createDataFrame(POLICY, "grp string, ts double, tm double"))
+
+
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id divides by 50, against all vectors."""
     v = table(spark, sf_dir, "embeddings")
@@ -259,6 +271,7 @@ QUERIES: dict[str, Query] = {
     "string_functions": _on(_scalars),
     "pair_features": _on(_pair_features),
     "fuzzy_features": _on(_fuzzy),
+    "merged_features": _on(_merged),
     "splits": _splits,
     "split_crosstab": _crosstab,
     "fresh_probe": lambda s, d: splits.sample(_customers(s, d).where(~splits.exposed(F.col("qid"))), "qid", 25, "probe").select("qid"),
@@ -275,6 +288,7 @@ QUERIES: dict[str, Query] = {
     "tune_free": _on(lambda d: decision.best_cell(_sweep(d, ordered=False), prefer_high=True)),
     "select_policies": _on(_policies),
     "apply_policy": _on(_applied),
+    "fusion_weights": _on(_fusion_weights),
     "per_query_scores": _on(lambda d: d.counts().select("qid", "country", "n_true", "n_pred", "n_tp", F.round("f05", 9).alias("f05"), F.round(metrics.f05_by_rates(F.col("n_true"), F.col("n_pred"), F.col("n_tp")), 9).alias("f05_by_rates"))),
     "summary": _on(lambda d: metrics.summarize(d.counts())),
     "losses": _on(lambda d: metrics.losses(d.counts(), _oracle_scores(d), ["country"])),
@@ -284,6 +298,7 @@ QUERIES: dict[str, Query] = {
     "slices": _on(lambda d: metrics.slices(d.counts(), {"everyone": F.lit(True), "exposed": splits.exposed(F.col("qid")), "fresh": ~splits.exposed(F.col("qid"))})),
     "recall_in_pool": _on(lambda d: metrics.recall_in_pool(d.truth, d.pool.where(~F.col("tid").endswith("5")), d.structured(), 10)),
     "recall_gates": _on(lambda d: metrics.recall_gates(metrics.counts(d.required(), d.truth, d.structured()))),
+    "hit_samples": _on(lambda d: metrics.hit_samples(d.truth, d.structured(5), d.required())),
     "depth_frontier": _on(lambda d: metrics.depth_frontier(d.required(), d.truth, d.fused(), DEPTHS)),
     "match_histogram": _on(lambda d: d.n_true().groupBy(splits.match_bucket(F.col("n_true")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))),
     "score_summary": _on(lambda d: d.scored().groupBy("is_match").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.round(F.percentile("p", 0.5), 6).alias("median"))),

@@ -229,6 +229,10 @@ ORACLES: dict[str, str] = {
         round({_JACCARD(_TOKENS('a'), _TOKENS('b'))}, 9) as name_core_jac, round({_JACCARD(_TOKENS('c'), _TOKENS('d'))}, 9) as addr_word_jac, 1.0 as addr_present_both,
         case when ha = hb then 1.0 else 0.0 end as house_equal, case when ha <> hb then 1.0 else 0.0 end as house_conflict, 0.0 as unit_equal, 0.0 as unit_conflict, 0.0 as pin_equal, 0.0 as pin_conflict,
         case when tid like 'S2-%' then 1.0 else 0.0 end as source_is_s2, round(rrf, 9) as rrf_best from x""",
+    "merged_features": f"""with {RECORDS}, {_lexical('lex', 'name', 20)}, x as (select lex.qid, lex.tid, score, q.name as a, p.name as b, q.address as c, p.address as d from lex join q using (qid) join p using (tid))
+      select qid, tid, round(score, 9) as tfidf, round(least(length(a), length(b)) / greatest(length(a), length(b)), 9) as len_ratio, round({_JACCARD(_GRAMS("replace(a, ' ', '')"), _GRAMS("replace(b, ' ', '')"))}, 9) as char3_jac,
+        case when regexp_extract(c, '^\\d+') = regexp_extract(d, '^\\d+') then 1.0 else 0.0 end as num_match, 1.0 as country_match, case when tid like 'S2-%' then 1.0 else 0.0 end as source_is_s2, 0.0 as address_missing,
+        round({_JACCARD(_TOKENS('c'), _TOKENS('d'))}, 9) as addr_word_jac, case when a = b then 1.0 else 0.0 end as name_exact, 0.0 as pin_match, 0.0 as pin_mismatch from x""",
     "splits": f"{_CUSTOMERS} select qid, {_SPLIT} as split, {_KEY('f05-v1')}::varchar as group_key, ({_KEY('folds')} % 3)::int as fold, {_BUCKET('n_matches')} as bucket from ids",
     "split_crosstab": f"{_CUSTOMERS} select {_SPLIT} as split, {_BUCKET('n_matches')} as bucket, count(*) as n from ids group by all",
     "fresh_probe": f"{_CUSTOMERS} select qid from ids where not ({_EXPOSED}) order by sha256('probe|' || qid), qid limit 25",
@@ -252,6 +256,14 @@ ORACLES: dict[str, str] = {
       select grp, ts, tm, macro_f05 from (select *, row_number() over (partition by grp order by macro_f05 desc, ts, tm) as n from g join base using (grp) where macro_f05 > base + 1e-12 or (ts = 0.7 and tm = 0.7)) where n = 1""",
     "apply_policy": f"""{SCORED}, named as (select *, max(p) over (partition by qid) as best, case country when 'Brand#1' then 0.6 when 'Brand#2' then 0.9 else 0.7 end as ts, case country when 'Brand#1' then 0.5 when 'Brand#2' then 0.2 else 0.6 end as tm from scored)
       select qid, tid, p, country from named where best >= ts and p >= tm""",
+    "fusion_weights": f"""{SCORED}, f as (select w::double as w, qid, country, is_match, (1 - w::double) * p + w::double * ((('0x' || substr(md5(tid || '|' || qid), 1, 6))::bigint % 1000) / 1000.0) as p
+        from scored, (values (0.0), (0.05), (0.1), (0.15), (0.2), (0.25), (0.3), (0.35), (0.4)) as g(w)),
+      d as (select *, max(p) over (partition by w, qid) as best, case country when 'Brand#1' then 0.6 when 'Brand#2' then 0.9 else 0.7 end as ts, case country when 'Brand#1' then 0.5 when 'Brand#2' then 0.2 else 0.6 end as tm from f),
+      k as (select w, qid, count(*) as n_pred, sum(is_match) as n_tp from d where best >= ts and p >= tm group by all),
+      e as (select w, qid, n_true, coalesce(n_pred, 0) as n_pred, coalesce(n_tp, 0) as n_tp from (select distinct w, n_true.qid, n_true from n_true, f) left join k using (w, qid))
+      select w, round(avg({F05}), 9) as macro_f05 from e group by w""",
+    "hit_samples": f"""with {RECORDS}, {KEYS}, {_structured('hits', 5)}, m as (select country, h.tid is not null as hit, t.qid, t.tid from truth t join required using (qid) left join (select distinct qid, tid from hits) h on h.qid = t.qid and h.tid = t.tid)
+      select country, hit, qid, tid from (select *, row_number() over (partition by country, hit order by qid, tid) as n from m) where n <= 3""",
     "per_query_scores": f"{DECIDED} select qid, country, n_true, n_pred, n_tp, round(f05, 9) as f05, round(f05, 9) as f05_by_rates from scores",
     "summary": f"{DECIDED} select country, round(avg(f05), 6) as macro_f05, count(*) as n, round(avg(case when n_pred = 0 then 1.0 else 0.0 end), 6) as empty_rate from scores group by rollup(country)",
     "losses": f"""{DECIDED}, best as (select qid, tid from truth semi join hits using (qid, tid)), {_count('best', 'ocounts')}, o as (select qid, {F05} as oracle_f05 from ocounts)
