@@ -30,9 +30,11 @@ def grid(spark, singles: Sequence[float], matches: Sequence[float], ordered: boo
     return spark.createDataFrame(cells, "ts double, tm double")
 
 
-def sweep(scored: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
+def sweep(scored: DataFrame, truth: DataFrame, cells: DataFrame, groups: bool = False) -> DataFrame:
     """ts, tm, macro_f05 of each cell, over all queries of ``truth`` counts (qid, n_true).
 
+    With ``groups``, also grp: 'global' and each country of ``truth``, in the same pass.
+
     ``scored`` has qid, p, is_match. A query's counts change only at its own scores, so the cells meet
     per-query prefix counts, not pairs: at most one row a query and cell.
     """
@@ -43,12 +45,15 @@ def sweep(scored: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
     lists = steps.groupBy("qid").agg(F.max("p").alias("best"), F.collect_list(F.struct("p", "n", "tp")).alias("steps"))
     # a bounded grid: the cells are a literal array in each row
     values = F.array(*[F.struct(F.lit(r["ts"]).alias("ts"), F.lit(r["tm"]).alias("tm")) for r in cells.collect()])
-    each = truth.join(lists, "qid", "left").select("qid", "n_true", "best", "steps", F.explode(values).alias("cell")).select("*", "cell.*")
+    named = truth.withColumn("grp", F.array(F.lit("global"), F.col("country")) if groups else F.array(F.lit("global")))
+    each = named.join(lists, "qid", "left").select("qid", "grp", "n_true", "best", "steps", F.explode(values).alias("cell")).select("*", "cell.*")
     reached = F.array_max(F.transform(F.filter(F.coalesce("steps", F.array().cast("array<struct<p:double,n:bigint,tp:bigint>>")), lambda s: s["p"] >= F.col("tm")), lambda s: F.struct(s["n"].alias("n"), s["tp"].alias("tp"))))
     kept = F.when(F.col("best") >= F.col("ts"), reached)
     each = each.withColumn("n_pred", F.coalesce(kept["n"], F.lit(0))).withColumn("n_tp", F.coalesce(kept["tp"], F.lit(0)))
-    score = metrics.f05(F.col("n_true"), F.col("n_pred"), F.col("n_tp"))
-    return each.groupBy("ts", "tm").agg(F.round(F.avg(score), 9).alias("macro_f05"))
+    each = each.withColumn("f05", metrics.f05(F.col("n_true"), F.col("n_pred"), F.col("n_tp")))
+    if groups:
+        each = each.withColumn("grp", F.explode("grp"))
+    return each.groupBy(*["grp"] * groups, "ts", "tm").agg(F.round(F.avg("f05"), 9).alias("macro_f05"))
 
 
 # The weights that score fusion tries.
@@ -74,16 +79,13 @@ def best_cell(swept: DataFrame, prefer_high: bool = False) -> DataFrame:
 
 def select_policies(scored: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
     """grp ('global' and each country), ts, tm, macro_f05: the best dual threshold that beats the base policy."""
-    countries = [r["country"] for r in truth.select("country").distinct().collect()]
-    out = None
-    for name in ("global", *sorted(countries)):
-        own = truth if name == "global" else truth.where(F.col("country") == name)
-        swept = sweep(scored.join(own.select("qid"), "qid", "left_semi"), own, cells)
-        base = swept.where((F.col("ts") == BASE_POLICY[0]) & (F.col("tm") == BASE_POLICY[1])).select(F.col("macro_f05").alias("base"))
-        better = swept.join(F.broadcast(base)).where((F.col("macro_f05") > F.col("base") + 1e-12) | ((F.col("ts") == BASE_POLICY[0]) & (F.col("tm") == BASE_POLICY[1]))).drop("base")
-        part = best_cell(better).select(F.lit(name).alias("grp"), "ts", "tm", "macro_f05")
-        out = part if out is None else out.unionByName(part)
-    return out
+    swept = sweep(scored, truth, cells, groups=True)
+    is_base = (F.col("ts") == BASE_POLICY[0]) & (F.col("tm") == BASE_POLICY[1])
+    own = W.partitionBy("grp")
+    base = F.max(F.when(is_base, F.col("macro_f05"))).over(own)
+    better = swept.withColumn("base", base).where(is_base | (F.col("macro_f05") > F.col("base") + 1e-12))
+    first = F.row_number().over(own.orderBy(F.col("macro_f05").desc(), "ts", "tm"))
+    return better.withColumn("_n", first).where(F.col("_n") == 1).select("grp", "ts", "tm", "macro_f05")
 
 
 def apply_policy(scored: DataFrame, policy: DataFrame, score: str = "p") -> DataFrame:
