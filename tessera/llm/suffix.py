@@ -31,7 +31,7 @@ LENGTH, GRAM = 200, 64
 UNIT = segments.Unit(False, LENGTH, GRAM)
 SHARD_BYTES = 512 << 10
 #: Buckets that the windows of very frequent keys are dealt to, and windows gathered for one row.
-BUCKETS, GATHERED = 512, 1 << 19
+BUCKETS, GATHERED = 512, 1 << 17
 _RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("fp", "<i8"), ("seg", "<i8"), ("at", "<u4"), ("twice", "u1")])
 
 
