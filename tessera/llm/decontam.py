@@ -8,8 +8,8 @@
 3. Passages are windows of two blocks of ``BLOCK`` words, each block shared by two windows. An item
    whose cosine with a window reaches ``LEAST_COSINE`` is a candidate of the document.
 4. A candidate is a leak when the longest common subsequence of the item and the words around the
-   window covers ``LEAST_LCS`` of the item, and the answer check finds ``LEAST_ANSWER`` of the item's
-   rarest words there. Both survive replaced, dropped and inserted words.
+   window covers ``LEAST_LCS`` of the item, and the answer check finds ``LEAST_ANSWER`` of the rarer
+   half of the item's words there. Both survive replaced, dropped and inserted words.
 
 The benchmark goes through in blocks of ``ITEM_BLOCK`` items, so what a task holds has a bound.
 
@@ -35,9 +35,10 @@ from tessera.llm import common
 
 ITEM_BLOCK, SAMPLE_DOCS, SAMPLE_PARTS = 4096, 6000, 16
 BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 2
-LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.6
-#: Words in over exp(-LEAST_IDF) of all passages have no weight in the space; they still count for the subsequence.
-LEAST_IDF = 2.0
+LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.5
+#: Words in over exp(-LEAST_IDF) of all passages, COMMON of them at least, have no weight in the space; they still
+#: count for the subsequence.
+LEAST_IDF, COMMON = 2.0, 64
 _WORD = re.compile(r"\w+")
 
 
@@ -200,7 +201,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
             own[x] = own.get(x, 0) | 1 << i
         masks.append(own)
         rare = sorted(own, key=lambda x: (-idf[x], x))
-        answers.append(set(rare[: max(3, math.ceil(len(rare) / 4))]))
+        answers.append(set(rare[: max(3, math.ceil(len(rare) / 2))]))
     sizes = [len(x) for x in items.lists]
 
     def judge(item: int, near: list[int]) -> tuple[float, float]:
@@ -266,8 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         counts = {r["word"]: r["n"] for r in words_.select("numbers").mapInArrow(_frequencies(items.vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
         seen = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], float)
         idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + 0.05
-        if (heavy := idf >= LEAST_IDF).any():  # else all words are as frequent: a tiny corpus
-            idf = np.where(heavy, idf, 0.0)
+        idf = np.where((idf >= LEAST_IDF) | (seen < COMMON), idf, 0.0)
         space = latent(scratch.put(words_.where(some).select("numbers").repartition(SAMPLE_PARTS), f"sample-{b}"), items, idf)
         part = words_.mapInArrow(_search(items, idf, space), shape)
         out = part if out is None else out.unionByName(part)
