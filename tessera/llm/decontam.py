@@ -7,15 +7,17 @@
    searched with it.
 3. Passages are windows of two blocks of ``BLOCK`` words, each block shared by two windows. An item
    whose cosine with a window reaches ``LEAST_COSINE`` is a candidate of the document.
+   So is an item of which ``SEED`` words in a row (all, if it has fewer) stand in the document, when the
+   item's whole length of words there reaches that cosine in all words instead of the space: an item as
+   it is written is always a candidate, however frequent its words and however often it is copied.
 4. A candidate is a leak when the longest common subsequence of the item and the words around the
    window covers ``LEAST_LCS`` of the item, and the answer check finds ``LEAST_ANSWER`` of the rarer
    half of the item's words there. Both survive replaced, dropped and inserted words.
 
 The benchmark goes through in blocks of ``ITEM_BLOCK`` items, so what a task holds has a bound.
 
-Defined cases: null texts are empty and match nothing; items without words, or with none but words that
-over an eighth of all passages hold, are never found; an item
-that occurs twice in a document is one row, with its best place; repeated rows of the benchmark are
+Defined cases: null texts are empty and match nothing; items without words are never found; an
+item of one word is found wherever that word is; an item that occurs twice in a document is one row, with its best place; repeated rows of the benchmark are
 one item, repeated documents have their own rows; empty tables give no rows; other columns are not
 read.
 """
@@ -36,9 +38,8 @@ from tessera.llm import common
 ITEM_BLOCK, SAMPLE_DOCS, SAMPLE_PARTS = 4096, 6000, 16
 BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 2
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.5
-#: Words in over exp(-LEAST_IDF) of all passages, COMMON of them at least, have no weight in the space; they still
-#: count for the subsequence.
-LEAST_IDF, COMMON = 2.0, 64
+#: Words in a row that make an item a candidate; the weight of a word that every passage holds; words that a step gathers.
+SEED, LEAST_IDF, GATHER = 3, 0.05, 1 << 18
 _WORD = re.compile(r"\w+")
 
 
@@ -146,7 +147,7 @@ def _gram_product(vocabulary: dict[str, int], idf: np.ndarray, q: np.ndarray):
         for batch in batches:
             for part in common.chunks(batch, "numbers", 256 << 10):
                 number, block, first, _ = _blocks(part.column("numbers"), _kind(vocabulary))
-                known = (number >= 0) & (idf[number] > 0)
+                known = number >= 0
                 number, block = number[known], block[known]
                 image = _passages(number, block, int(first[-1]), q * idf[:, None])
                 norm = np.bincount(block, idf[number] ** 2, int(first[-1]))
@@ -190,6 +191,77 @@ def lcs(masks: dict[int, int], size: int, other: list[int]) -> int:
     return size - row.bit_count()
 
 
+class Seeds:
+    """Where the items' runs of ``SEED`` words are in texts, and how like the item the words there are."""
+
+    def __init__(self, items: Items, idf: np.ndarray) -> None:
+        self.v, self.weight = len(items.vocabulary) + 1, idf * idf
+        self.size = np.array([len(x) for x in items.lists])
+        #: By length of the run: its words as one number, sorted, with item and offset.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(np.minimum(self.size, SEED).tolist())):
+            own = [i for i, x in enumerate(items.lists) if min(len(x), SEED) == n]
+            key = np.concatenate([self._key(items.lists[i], n) for i in own])
+            item = np.repeat(own, self.size[own] - n + 1)
+            order = np.argsort(key, kind="stable")
+            self.runs[n] = key[order], item[order], _within(self.size[own] - n + 1)[order]
+        self.word, count = np.unique(np.concatenate([i * self.v + x for i, x in enumerate(items.lists)]), return_counts=True)
+        self.count = count.astype(float)
+        self.norm = np.sqrt(np.bincount(self.word // self.v, self.count**2 * self.weight[self.word % self.v]))
+
+    def _key(self, number: np.ndarray, n: int) -> np.ndarray:
+        """``n`` words from each place on as one number; less than 0 with an unknown word."""
+        out, known = np.zeros(max(0, len(number) - n + 1), np.int64), True
+        for i in range(n):
+            x = number[i : len(number) - n + 1 + i]
+            out, known = out * self.v + x, known & (x >= 0)
+        return np.where(known, out, -1)
+
+    def find(self, number: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Item, text, first and end word of places that reach ``LEAST_COSINE``, and that cosine."""
+        for n, (key, item, offset) in self.runs.items():
+            runs = self._key(number, n)
+            low = np.searchsorted(key, runs)
+            place = np.flatnonzero((runs >= 0) & (key[np.minimum(low, len(key) - 1)] == runs))
+            text = np.searchsorted(start, place, "right") - 1
+            inside = place + n <= start[text + 1]
+            place, text = place[inside], text[inside]
+            low = low[place]
+            many = np.searchsorted(key, runs[place], "right") - low
+            step = GATHER // int(self.size.max()) + 1
+            ends = many.cumsum()
+            at = 0
+            while at < len(place):  # so many candidates at once, or those of one place
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+                which = np.repeat(low[at:to], many[at:to]) + _within(many[at:to])
+                doc, begin = np.repeat(text[at:to], many[at:to]), np.repeat(place[at:to], many[at:to]) - offset[which]
+                places = np.unique(np.stack([item[which], doc, begin]), axis=1)
+                yield self._near(number, start, *places)
+                at = to
+
+    def _near(self, number: np.ndarray, start: np.ndarray, item: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple:
+        end = np.minimum(begin + self.size[item], start[text + 1])
+        begin = np.maximum(begin, start[text])
+        own = np.repeat(np.arange(len(item)), end - begin)
+        word = number[np.repeat(begin, end - begin) + _within(end - begin)]
+        own, word = own[word >= 0], word[word >= 0]
+        pair, count = np.unique(own * self.v + word, return_counts=True)
+        own, word = pair // self.v, pair % self.v
+        theirs = item[own] * self.v + word
+        at = np.minimum(np.searchsorted(self.word, theirs), len(self.word) - 1)
+        weight = self.weight[word] * count
+        dot = np.bincount(own, weight * self.count[at] * (self.word[at] == theirs), len(item))
+        cosine = dot / (np.sqrt(np.bincount(own, weight * count, len(item))) * self.norm[item])
+        keep = cosine >= LEAST_COSINE
+        return item[keep], text[keep], begin[keep], end[keep], np.minimum(cosine[keep], 1.0)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each count."""
+    ends = counts.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
 def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     table = (space * idf[:, None]).astype(np.float32)
     wanted = _unit(np.stack([table[x].sum(axis=0) for x in items.lists])).astype(np.float32)
@@ -203,6 +275,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
         rare = sorted(own, key=lambda x: (-idf[x], x))
         answers.append(set(rare[: max(3, math.ceil(len(rare) / 2))]))
     sizes = [len(x) for x in items.lists]
+    seeds = Seeds(items, idf)
 
     def judge(item: int, near: list[int]) -> tuple[float, float]:
         have = answers[item].intersection(near)
@@ -213,22 +286,32 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
         for part in (x for b in batches for x in common.chunks(b, "numbers", 256 << 10)):
             number, block, first, start = _blocks(part.column("numbers"), _kind(items.vocabulary))
             n = int(first[-1])
-            heavy = (number >= 0) & (idf[number] > 0)
-            window = _unit(_windows(_passages(number[heavy], block[heavy], n, table), first))
+            window = _unit(_windows(_passages(number, block, n, table), first))
             begin = np.searchsorted(block, np.arange(n + 1))
             found: dict[tuple[int, int], tuple] = {}
+
+            def look(item: int, doc: int, begin: int, end: int, cosine: float) -> None:
+                """The item against the words from ``begin`` to ``end`` and its length around them."""
+                if (doc, item) in found and found[doc, item][:2] == (1.0, 1.0):
+                    return
+                low, high = int(start[doc]), int(start[doc + 1])
+                a, b = max(low, begin - sizes[item]), min(high, end + sizes[item])
+                common_, answer = judge(item, number[a:b].tolist())
+                if common_ >= LEAST_LCS:
+                    entry = (common_, answer, cosine, a - low, b - low)
+                    if (doc, item) not in found or entry[:3] > found[doc, item][:3]:
+                        found[doc, item] = entry
+
+            for which, doc, a, b, cosine in seeds.find(number, start):
+                order = np.argsort(-cosine, kind="stable")
+                for place in zip(*(x[order].tolist() for x in (which, doc, a, b, cosine)), strict=True):
+                    look(*place)
             for lo in range(0, n, 8192):
                 cosine = window[lo : lo + 8192] @ wanted.T
                 place, which = np.nonzero(cosine >= LEAST_COSINE)
-                for at, item, doc in zip(place.tolist(), which.tolist(), (np.searchsorted(first, lo + place, "right") - 1).tolist(), strict=True):
-                    low, high = int(start[doc]), int(start[doc + 1])
-                    margin = sizes[item]
-                    a, b = max(low, int(begin[lo + at]) - margin), min(high, int(begin[min(lo + at + 2, n)]) + margin)
-                    common_, answer = judge(item, number[a:b].tolist())
-                    if common_ >= LEAST_LCS:
-                        entry = (common_, answer, float(cosine[at, item]), a - low, b - low)
-                        if (doc, item) not in found or entry[:3] > found[doc, item][:3]:
-                            found[doc, item] = entry
+                doc = np.searchsorted(first, lo + place, "right") - 1
+                for at, item, own in zip(place.tolist(), which.tolist(), doc.tolist(), strict=True):
+                    look(item, own, int(begin[lo + at]), int(begin[min(lo + at + 2, n)]), float(cosine[at, item]))
             keys = sorted(found)
             values = [found[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
@@ -266,8 +349,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         words_ = scratch.put(rows.mapInArrow(_number(items.vocabulary), numbered), f"words-{b}")
         counts = {r["word"]: r["n"] for r in words_.select("numbers").mapInArrow(_frequencies(items.vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
         seen = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], float)
-        idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + 0.05
-        idf = np.where((idf >= LEAST_IDF) | (seen < COMMON), idf, 0.0)
+        idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + LEAST_IDF
         space = latent(scratch.put(words_.where(some).select("numbers").repartition(SAMPLE_PARTS), f"sample-{b}"), items, idf)
         part = words_.mapInArrow(_search(items, idf, space), shape)
         out = part if out is None else out.unionByName(part)

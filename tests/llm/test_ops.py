@@ -344,6 +344,16 @@ def test_leaks(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(table(spark, sf).select("doc_id", "text").limit(0).unionByName(planted.select("doc_id", "text")), table(spark, sf, "benchmark")).collect()} == {(1, 0)}
 
 
+def test_leaks_copied_into_a_third_of_all_rows(spark, docs):
+    rng = random.Random(7)
+    filler = lambda n: " ".join(f"fill{rng.randint(0, 5000)}" for _ in range(n))
+    often = "one passage that very many short rows hold as it is written"
+    rows = [(i, often if i % 3 == 0 else filler(40)) for i in range(600)]
+    bench = spark.createDataFrame([(0, often), (1, "another item that no row holds"), (2, "passage")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(rows), bench).collect()}
+    assert got == {(i, j) for i in range(0, 600, 3) for j in (0, 2)}
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(200):
