@@ -5,9 +5,10 @@
    the matrix with the sketch, the driver orthogonalises the sums. It is fitted on about
    ``SAMPLE_DOCS`` documents (by seeded rate) and all items; every passage of every document is
    searched with it.
-3. Passages are windows of two blocks of ``BLOCK`` words, each block shared by two windows. An item
-   whose cosine with a window reaches ``LEAST_COSINE`` is a candidate of the document.
-   So is an item of which ``SEED`` words in a row (all, if it has fewer) stand in the document, when the
+3. An item is compared with windows of its own length: with blocks of g words, g the power of two of which
+   the item has over two and at most four (1 up to ``EVERY`` words), windows of as many blocks as hold the item begin at every
+   block. An item whose cosine with a window reaches ``LEAST_COSINE`` is a candidate of the document.
+   So is an item of which ``SEED`` words in a row (two in an item below ``SHORT`` words; all, if it has fewer) stand in the document, when the
    item's whole length of words there reaches that cosine in all words instead of the space: an item as
    it is written is always a candidate, however frequent its words and however often it is copied.
 4. A candidate is a leak when the longest common subsequence of the item and the words around the
@@ -37,9 +38,12 @@ from tessera.llm import common
 
 ITEM_BLOCK, SAMPLE_DOCS, SAMPLE_PARTS = 4096, 6000, 16
 BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 2
+#: The rank is RANK, and grows to one for so many items of a block.
+RANK_ITEMS = 16
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.5
-#: Words in a row that make an item a candidate; the weight of a word that every passage holds; words that a step gathers.
-SEED, LEAST_IDF, GATHER = 3, 0.05, 1 << 18
+#: Words in a row that make an item a candidate, two in items below SHORT words; items up to EVERY words have windows at
+#: each word; the weight of a word that every passage holds; words that a step gathers.
+SEED, SHORT, EVERY, LEAST_IDF, GATHER = 3, 16, 8, 0.05, 1 << 18
 _WORD = re.compile(r"\w+")
 
 
@@ -84,15 +88,15 @@ def _number(vocabulary: dict[str, int]):
     return run
 
 
-def _blocks(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(column: pa.Array, kind: np.dtype, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts in a row: each word's number (-1 if unknown), its block, each text's first block and first word."""
     data = column.to_pylist()
     sizes = np.fromiter(map(len, data), np.int64, len(data)) // kind.itemsize
-    first = np.r_[0, (-(-sizes // BLOCK)).cumsum()]
+    first = np.r_[0, (-(-sizes // size)).cumsum()]
     start = np.r_[0, sizes.cumsum()]
     number = np.frombuffer(b"".join(data), kind).astype(np.int64)
     number[number == np.iinfo(kind).max] = -1
-    block = np.repeat(first[:-1], sizes) + (np.arange(start[-1]) - np.repeat(start[:-1], sizes)) // BLOCK
+    block = np.repeat(first[:-1], sizes) + (np.arange(start[-1]) - np.repeat(start[:-1], sizes)) // size
     return number, block, first, start
 
 
@@ -124,17 +128,24 @@ def _passages(number: np.ndarray, block: np.ndarray, n: int, table: np.ndarray)
     return out
 
 
-def _windows(blocks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each block with the next of its text."""
+def _windows(blocks: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Each block with the ``n - 1`` next of its text, or as many as there are."""
     out = blocks.copy()
-    if len(blocks) > 1:
-        inner = np.ones(len(blocks), bool)
-        inner[first[1:][first[1:] > 0] - 1] = False
-        at = np.flatnonzero(inner[: len(blocks) - 1])
-        out[at] += blocks[at + 1]
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(blocks))
+    for i in range(1, n):
+        at = np.flatnonzero(left > i)
+        out[at] += blocks[at + i]
     return out
 
 
+def _doubled(blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of twice as many words, and each text's first."""
+    sizes = np.diff(first)
+    at = np.flatnonzero((np.arange(len(blocks)) - np.repeat(first[:-1], sizes)) % 2 == 0)
+    out = np.add.reduceat(blocks, at, axis=0) if len(at) else blocks
+    return out, np.r_[0, (-(-sizes // 2)).cumsum()]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
@@ -161,23 +172,29 @@ def _gram_product(vocabulary: dict[str, int], idf: np.ndarray, q: np.ndarray):
 def latent(sample: DataFrame, items: Items, idf: np.ndarray, seed: int = 3) -> np.ndarray:
     """Words x rank: the right singular vectors of the TF-IDF passages, by randomised subspace iteration."""
     v = len(items.vocabulary)
-    q = np.random.default_rng(seed).standard_normal((v, min(v, RANK + OVERSAMPLE)))
-    own = np.zeros((len(items.lists), v))
-    for i, numbers in enumerate(items.lists):
-        np.add.at(own[i], numbers, 1.0)
-    own = _unit(own * idf)
+    rank = max(RANK, -(-len(items.lists) // RANK_ITEMS))
+    q = np.random.default_rng(seed).standard_normal((v, min(v, rank + OVERSAMPLE)))
+    sizes = np.array([len(x) for x in items.lists])
+    # a row of the matrix for each item, as entries (row, word, weight)
+    entry, count = np.unique(np.repeat(np.arange(len(sizes)), sizes) * v + np.concatenate(items.lists), return_counts=True)
+    row, word = entry // v, entry % v
+    weight = count * idf[word]
+    weight /= np.sqrt(np.bincount(row, weight**2))[row]
+    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
 
     def product(q: np.ndarray) -> np.ndarray:
         parts = sample.mapInArrow(_gram_product(items.vocabulary, idf, q), "part binary").collect()
         total = sum((np.frombuffer(r["part"]).reshape(q.shape) for r in parts), np.zeros_like(q))
         # the items weigh as much as the passages, so that what they are about has a place in the space
-        theirs = own.T @ (own @ q)
+        image = np.add.reduceat(q[word] * weight[:, None], begins, axis=0)
+        theirs = np.zeros_like(q)
+        np.add.at(theirs, word, image[row] * weight[:, None])
         return theirs + total * (np.linalg.norm(theirs) / max(np.linalg.norm(total), 1e-12) if total.any() else 0.0)
 
     for _ in range(ROUNDS):
         q, _ = np.linalg.qr(product(q))
     values, turn = np.linalg.eigh(q.T @ product(q))
-    return (q @ turn[:, np.argsort(-values)])[:, :RANK]
+    return (q @ turn[:, np.argsort(-values)])[:, :rank]
 
 
 def lcs(masks: dict[int, int], size: int, other: list[int]) -> int:
@@ -199,8 +216,9 @@ class Seeds:
         self.size = np.array([len(x) for x in items.lists])
         #: By length of the run: its words as one number, sorted, with item and offset.
         self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in sorted(set(np.minimum(self.size, SEED).tolist())):
-            own = [i for i, x in enumerate(items.lists) if min(len(x), SEED) == n]
+        length = np.minimum(self.size, np.where(self.size < SHORT, SEED - 1, SEED))
+        for n in sorted(set(length.tolist())):
+            own = np.flatnonzero(length == n)
             key = np.concatenate([self._key(items.lists[i], n) for i in own])
             item = np.repeat(own, self.size[own] - n + 1)
             order = np.argsort(key, kind="stable")
@@ -276,6 +294,13 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
         answers.append(set(rare[: max(3, math.ceil(len(rare) / 2))]))
     sizes = [len(x) for x in items.lists]
     seeds = Seeds(items, idf)
+    #: Items by words of a block and blocks of a window.
+    classes: dict[int, dict[int, np.ndarray]] = {}
+    for i, m in enumerate(sizes):
+        g = 1 << math.ceil(math.log2(m / 4)) if m > EVERY else 1
+        classes.setdefault(g, {}).setdefault(-(-m // g), []).append(i)
+    classes = {g: {k: np.array(x) for k, x in own.items()} for g, own in sorted(classes.items())}
+    finest = min(classes)
 
     def judge(item: int, near: list[int]) -> tuple[float, float]:
         have = answers[item].intersection(near)
@@ -284,10 +309,8 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for b in batches for x in common.chunks(b, "numbers", 256 << 10)):
-            number, block, first, start = _blocks(part.column("numbers"), _kind(items.vocabulary))
-            n = int(first[-1])
-            window = _unit(_windows(_passages(number, block, n, table), first))
-            begin = np.searchsorted(block, np.arange(n + 1))
+            number, block, first, start = _blocks(part.column("numbers"), _kind(items.vocabulary), finest)
+            sums, size = _passages(number, block, int(first[-1]), table), finest
             found: dict[tuple[int, int], tuple] = {}
 
             def look(item: int, doc: int, begin: int, end: int, cosine: float) -> None:
@@ -306,12 +329,19 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
                 order = np.argsort(-cosine, kind="stable")
                 for place in zip(*(x[order].tolist() for x in (which, doc, a, b, cosine)), strict=True):
                     look(*place)
-            for lo in range(0, n, 8192):
-                cosine = window[lo : lo + 8192] @ wanted.T
-                place, which = np.nonzero(cosine >= LEAST_COSINE)
-                doc = np.searchsorted(first, lo + place, "right") - 1
-                for at, item, own in zip(place.tolist(), which.tolist(), doc.tolist(), strict=True):
-                    look(item, own, int(begin[lo + at]), int(begin[min(lo + at + 2, n)]), float(cosine[at, item]))
+            for g, own in classes.items():
+                while size < g:
+                    (sums, first), size = _doubled(sums, first), 2 * size
+                text = np.repeat(np.arange(len(start) - 1), np.diff(first))
+                begin = start[text] + (np.arange(len(text)) - first[text]) * g
+                for k, members in own.items():
+                    window, theirs = _unit(_windows(sums, first, k)), wanted[members].T
+                    for lo in range(0, len(window), 8192):
+                        cosine = window[lo : lo + 8192] @ theirs
+                        place, which = np.nonzero(cosine >= LEAST_COSINE)
+                        at = begin[lo + place]
+                        for x in zip(members[which].tolist(), text[lo + place].tolist(), at.tolist(), (at + k * g).tolist(), cosine[place, which].tolist(), strict=True):
+                            look(*x)
             keys = sorted(found)
             values = [found[k] for k in keys]
             yield pa.RecordBatch.from_arrays(

@@ -354,6 +354,18 @@ def test_leaks_copied_into_a_third_of_all_rows(spark, docs):
     assert got == {(i, j) for i in range(0, 600, 3) for j in (0, 2)}
 
 
+@pytest.mark.parametrize("size", [6, 9, 12, 24])
+def test_changed_leaks_of_short_items(spark, docs, size):
+    rng = random.Random(size)
+    draw = lambda n: [f"w{rng.randint(0, 999)}" if i % 3 < 2 else f"often{rng.randint(0, 99)}" for i in range(n)]
+    items = [draw(size) for _ in range(100)]
+    changed = [[w if i % 3 < 2 else f"other{i}" for i, w in enumerate(x)] for x in items]  # no three words in a row are left
+    rows = [(i, " ".join(draw(60 + i % 7) + x + draw(60))) for i, x in enumerate(changed)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(rows), bench).collect()}
+    assert len(got & {(i, i) for i in range(100)}) >= 95 and len(got) <= 110
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(200):
