@@ -2,15 +2,15 @@
 
 1. The vocabulary is the benchmark's words. Texts are turned into word numbers once; the words' passage frequencies are counted over all documents.
 2. A randomised SVD of the TF-IDF passages is computed in Spark: partitions multiply their part of
-   the matrix with the sketch, the driver orthogonalises the sums. It is fitted on about
-   ``SAMPLE_DOCS`` documents (by seeded rate) and all items; every passage of every document is
-   searched with it.
+   the matrix with the sketch, tasks by slice of words add up the parts, the driver orthogonalises the
+   sums. It covers every passage of every document, and all items.
 3. An item is compared with windows of its own length: with blocks of g words, g the power of two of which
    the item has over two and at most four (1 up to ``EVERY`` words), windows of as many blocks as hold the item begin at every
    block. An item whose cosine with a window reaches ``LEAST_COSINE`` is a candidate of the document.
-   So is an item of which ``SEED`` words in a row (two in an item below ``SHORT`` words; all, if it has fewer) stand in the document, when the
-   item's whole length of words there reaches that cosine in all words instead of the space: an item as
-   it is written is always a candidate, however frequent its words and however often it is copied.
+   So is an item of which ``SEED`` words in a row (two in an item below ``SHORT`` words; all, if it has fewer), one of the rarer
+   half of its runs, stand in the document, when the item's whole length of words there reaches that cosine in all words
+   instead of the space: an item as it is written is always a candidate, however frequent its words, however often it is
+   copied and however long it is.
 4. A candidate is a leak when the longest common subsequence of the item and the words around the
    window covers ``LEAST_LCS`` of the item, and the answer check finds ``LEAST_ANSWER`` of the rarer
    half of the item's words there. Both survive replaced, dropped and inserted words.
@@ -36,19 +36,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import common
 
-ITEM_BLOCK, SAMPLE_DOCS, SAMPLE_PARTS = 4096, 6000, 16
-BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 2
+ITEM_BLOCK = 4096
+#: Slices of words that partial sums are added in; bytes of word numbers whose blocks a kernel works on at once.
+SLICES, SLAB = 16, 32 << 10
+BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 1
 #: The rank is RANK, and grows to one for so many items of a block.
 RANK_ITEMS = 16
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.6, 0.6, 0.5
-#: Words in a row that make an item a candidate, two in items below SHORT words; items up to EVERY words have windows at
-#: each word; the weight of a word that every passage holds; words that a step gathers.
-SEED, SHORT, EVERY, LEAST_IDF, GATHER = 3, 16, 8, 0.05, 1 << 18
+#: Words in a row that make an item a candidate, two in items below SHORT words; runs of an item that are looked for, half
+#: of them or more; items up to EVERY words have windows at each word; the weight of a word that every passage holds; words that a step gathers.
+SEED, SHORT, LEAST_RUNS, EVERY, LEAST_IDF, GATHER = 3, 16, 4, 8, 0.05, 1 << 18
 _WORD = re.compile(r"\w+")
+#: The same for texts of one byte a character: all but letters, digits and underscores are blanks.
+_BLANKED = bytes(i if chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(_BLANKED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
 
 
 @dataclass
@@ -119,30 +127,39 @@ def _frequencies(vocabulary: dict[str, int]):
 
 def _passages(number: np.ndarray, block: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """The sum of the words' rows of ``table`` in each of ``n`` blocks."""
-    known = number >= 0
     out = np.zeros((n, table.shape[1]), table.dtype)
-    if known.any():
-        own = block[known]
-        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        out[own[start]] = np.add.reduceat(table[number[known]], start, axis=0)
+    known = np.flatnonzero(number >= 0)
+    if len(known):
+        own, word = block[known], number[known]
+        place = _within(np.bincount(own, minlength=n))
+        order = np.argsort(place, kind="stable")  # the first known word of every block, then the second, ..
+        ends = np.cumsum(np.bincount(place))
+        for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            some = order[lo:hi]
+            out[own[some]] += table[word[some]]
     return out
 
 
-def _windows(blocks: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Each block with the ``n - 1`` next of its text, or as many as there are."""
-    out = blocks.copy()
+def _windows(blocks: np.ndarray, first: np.ndarray, wanted: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """By ``wanted`` numbers n in order: each block with the ``n - 1`` next of its text, or as many as there are."""
+    out, have = blocks.copy(), 1
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(blocks))
-    for i in range(1, n):
-        at = np.flatnonzero(left > i)
-        out[at] += blocks[at + i]
-    return out
+    for n in wanted:
+        for i in range(have, min(n, len(blocks))):
+            after = blocks[i:].copy()
+            after[np.flatnonzero(left[:-i] <= i)] = 0
+            out[:-i] += after
+        have = n
+        yield n, out
 
 
 def _doubled(blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of twice as many words, and each text's first."""
     sizes = np.diff(first)
-    at = np.flatnonzero((np.arange(len(blocks)) - np.repeat(first[:-1], sizes)) % 2 == 0)
-    out = np.add.reduceat(blocks, at, axis=0) if len(at) else blocks
+    place = np.arange(len(blocks)) - np.repeat(first[:-1], sizes)
+    out = blocks[place % 2 == 0]
+    odd = np.flatnonzero(place % 2)
+    out[(np.cumsum(place % 2 == 0) - 1)[odd]] += blocks[odd]
     return out, np.r_[0, (-(-sizes // 2)).cumsum()]
 
 
@@ -151,26 +168,54 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _gram_product(vocabulary: dict[str, int], idf: np.ndarray, q: np.ndarray):
-    """Partial sums of A' (A q) over the rows of A: TF-IDF windows scaled to unit length."""
+    """Partial sums of A' (A q) over the rows of A: TF-IDF passages scaled to unit length. A row for each slice of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(q)
+        common.one_thread()
+        kind = _kind(vocabulary)
+        total, table, light = np.zeros(q.T.shape), np.ascontiguousarray((q * idf[:, None]).T, np.float32), idf.astype(np.float32)
         for batch in batches:
-            for part in common.chunks(batch, "numbers", 256 << 10):
+            for part in common.chunks(batch, "numbers", SLAB):
                 number, block, first, _ = _blocks(part.column("numbers"), _kind(vocabulary))
                 known = number >= 0
                 number, block = number[known], block[known]
-                image = _passages(number, block, int(first[-1]), q * idf[:, None])
-                norm = np.bincount(block, idf[number] ** 2, int(first[-1]))
-                image /= np.maximum(norm, 1e-12)[:, None]
-                np.add.at(total, number, image[block] * idf[number][:, None])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+                if not len(number):
+                    continue
+                # entries in order of passages for A q, in order of words for A' (A q)
+                begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                passage = np.cumsum(np.r_[False, block[1:] != block[:-1]])
+                scale = 1 / np.add.reduceat(light[number] ** 2, begin)
+                order = np.argsort(number.astype(kind), kind="stable")
+                sorted_, passage = number[order], passage[order]
+                ends = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                weight, word = light[sorted_], sorted_[ends]
+                for j in range(0, len(table), 8):
+                    image = np.add.reduceat(table[j : j + 8].take(number, axis=1), begin, axis=1) * scale
+                    total[j : j + 8, word] += np.add.reduceat(image.take(passage, axis=1) * weight, ends, axis=1)
+        some = np.flatnonzero(total.any(axis=0))
+        cut = [some[some % SLICES == i] for i in range(SLICES)]
+        rows = [total[:, x].T.astype(np.float32).tobytes() for x in cut]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.astype(np.int32).tobytes() for x in cut], pa.binary()), pa.array(rows, pa.binary())], names=["slice", "words", "part"])
+
+    return run
+
+
+def _add_parts(width: int, n: int):
+    """The sum of all parts of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, words_, part in zip(*(batch.column(c).to_pylist() for c in ("slice", "words", "part")), strict=True):
+                own = sums.setdefault(i, np.zeros((-(-n // SLICES), width)))
+                own[np.frombuffer(words_, np.int32) // SLICES] += np.frombuffer(part, np.float32).reshape(-1, width)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
 
     return run
 
 
-def latent(sample: DataFrame, items: Items, idf: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Words x rank: the right singular vectors of the TF-IDF passages, by randomised subspace iteration."""
+def latent(texts: DataFrame, items: Items, idf: np.ndarray, scratch: common.Scratch, seed: int = 3) -> np.ndarray:
+    """Words x rank: the right singular vectors of all TF-IDF passages, by randomised subspace iteration."""
     v = len(items.vocabulary)
     rank = max(RANK, -(-len(items.lists) // RANK_ITEMS))
     q = np.random.default_rng(seed).standard_normal((v, min(v, rank + OVERSAMPLE)))
@@ -182,19 +227,27 @@ def latent(sample: DataFrame, items: Items, idf: np.ndarray, seed: int = 3) -> n
     weight /= np.sqrt(np.bincount(row, weight**2))[row]
     begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
 
-    def product(q: np.ndarray) -> np.ndarray:
-        parts = sample.mapInArrow(_gram_product(items.vocabulary, idf, q), "part binary").collect()
-        total = sum((np.frombuffer(r["part"]).reshape(q.shape) for r in parts), np.zeros_like(q))
+    def product(q: np.ndarray, name: str) -> np.ndarray:
+        parts = texts.mapInArrow(_gram_product(items.vocabulary, idf, q), "slice int, words binary, part binary")
+        added = scratch.put(parts.repartition("slice").mapInArrow(_add_parts(q.shape[1], v), "slice int, sums binary"), name)
+        total = np.zeros_like(q)
+        for r in added.collect():  # one row a slice: as many numbers as q has
+            total[r["slice"] :: SLICES] = np.frombuffer(r["sums"]).reshape(-1, q.shape[1])[: len(range(r["slice"], v, SLICES))]
+        scratch.drop(name)
         # the items weigh as much as the passages, so that what they are about has a place in the space
         image = np.add.reduceat(q[word] * weight[:, None], begins, axis=0)
         theirs = np.zeros_like(q)
         np.add.at(theirs, word, image[row] * weight[:, None])
         return theirs + total * (np.linalg.norm(theirs) / max(np.linalg.norm(total), 1e-12) if total.any() else 0.0)
 
-    for _ in range(ROUNDS):
-        q, _ = np.linalg.qr(product(q))
-    values, turn = np.linalg.eigh(q.T @ product(q))
-    return (q @ turn[:, np.argsort(-values)])[:, :rank]
+    for i in range(ROUNDS):
+        q, _ = np.linalg.qr(product(q, f"round-{i}"))
+    image = product(q, "last")
+    # Nystrom: the space of this product, one round beyond that of q
+    within = q.T @ image
+    values, turn = np.linalg.eigh((within + within.T) / 2)
+    keep = values > 1e-9 * max(values.max(), 1e-30)
+    return np.linalg.svd(image @ (turn[:, keep] / np.sqrt(values[keep])), full_matrices=False)[0][:, :rank]
 
 
 def lcs(masks: dict[int, int], size: int, other: list[int]) -> int:
@@ -219,14 +272,21 @@ class Seeds:
         length = np.minimum(self.size, np.where(self.size < SHORT, SEED - 1, SEED))
         for n in sorted(set(length.tolist())):
             own = np.flatnonzero(length == n)
-            key = np.concatenate([self._key(items.lists[i], n) for i in own])
-            item = np.repeat(own, self.size[own] - n + 1)
+            offsets = [self._rare(idf[items.lists[i]], n) for i in own]
+            key = np.concatenate([self._key(items.lists[i], n)[x] for i, x in zip(own, offsets, strict=True)])
+            item = np.repeat(own, [len(x) for x in offsets])
             order = np.argsort(key, kind="stable")
-            self.runs[n] = key[order], item[order], _within(self.size[own] - n + 1)[order]
+            self.runs[n] = key[order], item[order], np.concatenate(offsets)[order]
         self.word, count = np.unique(np.concatenate([i * self.v + x for i, x in enumerate(items.lists)]), return_counts=True)
         self.count = count.astype(float)
         self.norm = np.sqrt(np.bincount(self.word // self.v, self.count**2 * self.weight[self.word % self.v]))
 
+    @staticmethod
+    def _rare(weight: np.ndarray, n: int) -> np.ndarray:
+        """Where the rarer half of an item's runs begin, at least ``LEAST_RUNS`` of them."""
+        weight = np.convolve(weight, np.ones(n), "valid")
+        return np.sort(np.argsort(-weight, kind="stable")[: max(LEAST_RUNS, -(-len(weight) // 2))])
+
     def _key(self, number: np.ndarray, n: int) -> np.ndarray:
         """``n`` words from each place on as one number; less than 0 with an unknown word."""
         out, known = np.zeros(max(0, len(number) - n + 1), np.int64), True
@@ -280,6 +340,24 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def _best_of_neighbours(place: np.ndarray, which: np.ndarray, cosine: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of up to ``k`` candidates of one item and text at places in a row, the first with the highest cosine.
+
+    What is looked at around it, an item's length either way, holds the windows of all of them.
+    """
+    order = np.lexsort((place, which))
+    place, which, cosine = place[order], which[order], cosine[order]
+    if not len(place):
+        return place, which, cosine
+    new = np.r_[True, (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1) | (text[place[1:]] != text[place[:-1]])]
+    run = np.flatnonzero(new)
+    within = _within(np.diff(np.r_[run, len(place)]))
+    group = np.cumsum(new | (within % k == 0))
+    best = np.lexsort((-cosine, group))
+    best = np.sort(best[np.r_[True, np.diff(group[best]) > 0]])
+    return place[best], which[best], cosine[best]
+
+
 def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     table = (space * idf[:, None]).astype(np.float32)
     wanted = _unit(np.stack([table[x].sum(axis=0) for x in items.lists])).astype(np.float32)
@@ -299,7 +377,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
     for i, m in enumerate(sizes):
         g = 1 << math.ceil(math.log2(m / 4)) if m > EVERY else 1
         classes.setdefault(g, {}).setdefault(-(-m // g), []).append(i)
-    classes = {g: {k: np.array(x) for k, x in own.items()} for g, own in sorted(classes.items())}
+    classes = {g: {k: np.array(x) for k, x in sorted(own.items())} for g, own in sorted(classes.items())}
     finest = min(classes)
 
     def judge(item: int, near: list[int]) -> tuple[float, float]:
@@ -308,7 +386,8 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
         return (lcs(masks[item], sizes[item], near) / sizes[item], answer) if answer >= LEAST_ANSWER else (0.0, answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for b in batches for x in common.chunks(b, "numbers", 256 << 10)):
+        common.one_thread()
+        for part in (x for b in batches for x in common.chunks(b, "numbers", SLAB)):
             number, block, first, start = _blocks(part.column("numbers"), _kind(items.vocabulary), finest)
             sums, size = _passages(number, block, int(first[-1]), table), finest
             found: dict[tuple[int, int], tuple] = {}
@@ -334,13 +413,16 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
                     (sums, first), size = _doubled(sums, first), 2 * size
                 text = np.repeat(np.arange(len(start) - 1), np.diff(first))
                 begin = start[text] + (np.arange(len(text)) - first[text]) * g
-                for k, members in own.items():
-                    window, theirs = _unit(_windows(sums, first, k)), wanted[members].T
-                    for lo in range(0, len(window), 8192):
-                        cosine = window[lo : lo + 8192] @ theirs
+                for k, sums_k in _windows(sums, first, list(own)):
+                    members = own[k]
+                    norm, theirs = np.maximum(np.sqrt(np.einsum("ij,ij->i", sums_k, sums_k)), 1e-12)[:, None], wanted[members].T
+                    for lo in range(0, len(sums_k), 8192):
+                        cosine = sums_k[lo : lo + 8192] @ theirs
+                        cosine /= norm[lo : lo + 8192]
                         place, which = np.nonzero(cosine >= LEAST_COSINE)
+                        place, which, near = _best_of_neighbours(place, which, cosine[place, which], text[lo:], k)
                         at = begin[lo + place]
-                        for x in zip(members[which].tolist(), text[lo + place].tolist(), at.tolist(), (at + k * g).tolist(), cosine[place, which].tolist(), strict=True):
+                        for x in zip(members[which].tolist(), text[lo + place].tolist(), at.tolist(), (at + k * g).tolist(), near.tolist(), strict=True):
                             look(*x)
             keys = sorted(found)
             values = [found[k] for k in keys]
@@ -365,12 +447,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     kinds["item_id"] = "bigint" if kinds["item_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
     shape = f"doc_id {kinds['doc_id']}, text_hash bigint, item_id {kinds['item_id']}, lcs double, answer double, cosine double, first_word bigint, end_word bigint"
     asked = benchmark.select(F.col(item).cast(kinds["item_id"]).alias("item_id"), common.as_text(item_text).alias("text")).distinct()
-    n_items, n_docs = asked.count(), rows.count()
-    blocks = -(-n_items // ITEM_BLOCK)
+    blocks = -(-asked.count() // ITEM_BLOCK)
     scratch = common.Scratch(spark, "decontam")
-    some = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, SAMPLE_DOCS / max(1, n_docs)))
     numbered = f"doc_id {kinds['doc_id']}, text_hash bigint, numbers binary"
-    out = None
+    found: list[str] = []
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64(F.lit(13), "item_id", "text"), F.lit(blocks)) == b)
         items = read_items(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x)))
@@ -380,18 +460,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         counts = {r["word"]: r["n"] for r in words_.select("numbers").mapInArrow(_frequencies(items.vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
         seen = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], float)
         idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + LEAST_IDF
-        space = latent(scratch.put(words_.where(some).select("numbers").repartition(SAMPLE_PARTS), f"sample-{b}"), items, idf)
-        part = words_.mapInArrow(_search(items, idf, space), shape)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], shape)
+        space = latent(words_.select("numbers"), items, idf, scratch)
+        scratch.put(words_.mapInArrow(_search(items, idf, space), shape), f"found-{b}")
+        scratch.drop(f"words-{b}")
+        found.append(f"{scratch.path}/found-{b}")
+    return spark.read.schema(shape).parquet(*found) if found else spark.createDataFrame([], shape)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a leak, with all their columns."""
-    names = docs.columns
-    bad = leaks(docs, benchmark, doc, text).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    on = F.col(f"`{doc}`").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(common.as_text(text)) == F.col("_bad_hash"))
-    return docs.join(common.Scratch(docs.sparkSession, "leaks").put(bad, "bad"), on, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    own, digest = common.unused(docs, "bad_id"), common.unused(docs, "bad_hash")
+    bad = leaks(docs, benchmark, doc, text).select(F.col("doc_id").alias(own), F.col("text_hash").alias(digest)).distinct()
+    on = F.col(f"`{doc}`").eqNullSafe(F.col(own)) & (F.xxhash64(common.as_text(text)) == F.col(digest))
+    return docs.join(common.Scratch(docs.sparkSession, "leaks").put(bad, "bad"), on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,3 +395,36 @@ def test_pipeline(spark, sf):
     bad = {r["doc_id"] for r in decontam.leaks(docs_, table(spark, sf, "benchmark")).collect()}
     assert not bad & set(out["doc_id"]) and len(out) > 0.6 * docs_.count()
     assert (out["taken"] <= 2 * out["size"]).all()
+
+
+@pytest.mark.parametrize("copies", [20, 100, 300, 400])
+def test_a_leak_in_most_documents(spark, docs, copies):
+    rng = random.Random(copies)
+    filler = lambda n: " ".join(f"fill{rng.randint(0, 3000)}" for _ in range(n))
+    item = " ".join(f"w{rng.randint(0, 500)}" for _ in range(20))
+    rows = [(i, f"{filler(40)} {item} {filler(20)}" if i < copies else filler(80)) for i in range(400)]
+    bench = spark.createDataFrame([(0, item), (1, "nothing like it at all in there")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(rows), bench).collect()} == {(i, 0) for i in range(copies)}
+
+
+def test_leaks_of_any_length(spark, docs):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(f"fill{rng.randint(0, 3000)}" for _ in range(n))
+    items = [(m, filler(m)) for m in (1, 2, 5, 8, 15, 16, 17, 50, 200, 600, 2000)]
+    rows = [(m, f"{filler(40)} {x} {filler(20)}") for m, x in items] + [(9000 + m, f"{x} {filler(5)}") for m, x in items]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, m) for m, _ in items for d in (m, 9000 + m)} <= got
+
+
+def test_recall_beside_many_items(spark, docs):
+    """4,096 items of 9 to 120 words, one in six words of the planted quarter replaced."""
+    g = np.random.default_rng(5)
+    draw = lambda n: [f"z{int(x)}" for x in np.minimum(g.zipf(1.25, n), 30000)]
+    items, rows = [], []
+    for i in range(4096):
+        own = draw(int(g.choice([9, 12, 16, 24, 40, 60, 120])))
+        items.append((i, " ".join(own)))
+        planted = [w if k % 6 != 2 else f"new{i}" for k, w in enumerate(own)] if i % 4 == 0 else []
+        rows.append((i, " ".join(draw(80) + planted + draw(60))))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in found for i in range(0, 4096, 4)) >= 0.95 * 1024
