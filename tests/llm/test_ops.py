@@ -5,6 +5,7 @@ import importlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -294,6 +295,56 @@ def test_html(spark, sf):
     assert sum(r["text"].split("\n", 1)[-1] in docs_ or r["text"] in docs_ for r in got) >= 0.9 * len(got)
 
 
+STORY = "long words of the article here " * 5
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><h2 id="search-algorithms">Search</h2><p>{STORY}</p><section id="related-work"><h2>Related</h2><p>more</p></section></article>', f"Search\n{STORY.strip()}\nRelated\nmore"),
+        (f'<article><p>{STORY}</p><p>Real text <span class="share">Share me</span> goes on.</p></article>', f"{STORY.strip()}\nReal text goes on."),
+        (f'<article><p>{STORY} <span class="ad">buy<p>next</span> one</article>', f"{STORY.strip()}\nnext one"),
+        (f'<article><p>{STORY}</p><pre><span class="hljs-comment"># note</span> x = 1</pre></article>', f"{STORY.strip()}\n# note x = 1"),
+        (f'<div class="sidebar-left"><main><p>{STORY}</p></main></div><div class="sidebar">side</div>', STORY.strip()),
+        (f'<div class="sidebar-wrap"><div class="content"><p>{STORY}</p></div></div>', STORY.strip()),
+        (f'<article><p>{STORY}</p><div class="relatedPosts"><article>teaser</article></div><div id="cookie-notice">c</div></article>', STORY.strip()),
+        (f'<article><p>{STORY}</p><ul class="x-related"><li><a href=1>one</a><li><a>two</a></ul><div id="comments"><p>reader</p></div><section class="comments-area">c</section>', STORY.strip()),
+        (f"<article><header><h1>T</h1></header><p>{STORY}</p></article><header>site</header><footer>f</footer>", f"T\n{STORY.strip()}"),
+        ("a < b and c > d &lt;x&gt; <3", "a < b and c > d <x> <3"),
+        ('<p title="a>b">text</p><!-- x --><!--> y <a href="x', "text\ny"),
+    ],
+)
+def test_html_cases(page, want):
+    assert html.Page(page).extract([])[0] == want
+
+
+@pytest.mark.parametrize("page", ['<a"' * 350_000, '<a"' * 170_000 + ">" + '<a"' * 170_000, '<div class="abc def">' * 100_000 + "x", "<p>" + "<b>" * 100_000 + "</i>" * 100_000, "<p><td>" + "<b>" * 50_000 + "<hr>" * 50_000, "<" * 1_000_000, "<script>" + "</script " * 100_000, "<a ='" * 200_000, "<div class=ad><article>" * 30_000])
+def test_html_takes_linear_time(page):
+    begin = time.process_time()
+    html.Page(page).extract([])
+    assert time.process_time() - begin < 15
+
+
+def test_planted_articles_come_out_whole(spark):
+    """Articles in the templates of hosts: what comes out is what went in, block by block."""
+    rng = random.Random(6)
+    sentence = lambda n: " ".join(rng.choice(["stone", "river", "of", "the", "answer", "related", "search", "comments"]) for _ in range(n))
+    parts = ['<nav><a href="/">Home</a></nav>', '<div class="ad">buy now</div>', '<div id="sidebar">most read</div>', '<div class="newsletter-signup">join</div>', '<section class="comments"><p>reader says</p></section>', '<aside>aside</aside>', '<form>q <input></form>', '<footer>foot</footer>', '<div class="cookie-notice">cookies</div>', '<section id="comments"><p>first reader</p></section>']
+    frames = [("<article>{}</article>", "h0"), ('<div class="wrap"><div class="entry-content">{}</div></div>', "h1"), ("<main><div>{}</div></main>", "h2"), ('<table><tr><td class="text">{}</td></tr></table>', "h3")]
+    pages, want = [], {}
+    for i in range(120):
+        frame, host = frames[i % 4]
+        blocks = [("h1", sentence(4)), *[(rng.choice(["p", "p", "h2", "li", "blockquote"]), sentence(rng.randint(8, 40))) for _ in range(rng.randint(3, 9))]]
+        body = "".join(f'<{t} id="{x.split()[0]}">{x.replace("of", "<b>of</b>")}</{t}>' for t, x in blocks)
+        around = [p for p in parts if rng.random() < 0.8]
+        rng.shuffle(around)
+        half = len(around) // 2
+        pages.append((i, f"http://{host}.example/{i}", f"<html><body>{''.join(around[:half])}{frame.format(body)}{''.join(around[half:])}</body></html>"))
+        want[i] = "\n".join(x for _, x in blocks)
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_host_consensus(spark):
     """A page whose own best container is another follows the host."""
     body = lambda a, b: f'<body><div class="story">{a}</div><div class="teasers">{b}</div></body>'
