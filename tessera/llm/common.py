@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -131,15 +129,6 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def one_thread() -> None:
-    """One thread for matrix products: a task has one core, and idle helper threads spin on the cores of others."""
-    for path in {line.split()[-1] for line in Path("/proc/self/maps").read_text().splitlines() if "openblas" in line} if Path("/proc/self/maps").exists() else ():
-        library = ctypes.CDLL(path)
-        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(library, name):
-                getattr(library, name)(1)
-
-
 def small(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: str = "text", limit: int = 2 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function over slices with little text each, so that what a worker holds has a bound."""
 

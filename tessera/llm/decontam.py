@@ -171,7 +171,6 @@ def _gram_product(vocabulary: dict[str, int], idf: np.ndarray, q: np.ndarray):
     """Partial sums of A' (A q) over the rows of A: TF-IDF passages scaled to unit length. A row for each slice of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.one_thread()
         kind = _kind(vocabulary)
         total, table, light = np.zeros(q.T.shape), np.ascontiguousarray((q * idf[:, None]).T, np.float32), idf.astype(np.float32)
         for batch in batches:
@@ -386,7 +385,6 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
         return (lcs(masks[item], sizes[item], near) / sizes[item], answer) if answer >= LEAST_ANSWER else (0.0, answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.one_thread()
         for part in (x for b in batches for x in common.chunks(b, "numbers", SLAB)):
             number, block, first, start = _blocks(part.column("numbers"), _kind(items.vocabulary), finest)
             sums, size = _passages(number, block, int(first[-1]), table), finest

@@ -81,6 +81,28 @@ def test_odd_pages_and_chats(spark):
     assert chat.format_chat(rows.limit(0)).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('é <s> ', id) as text")
+    begin = time.time()
+    back = chat.read_back(chat.format_chat(rows)).select(F.size("turns").alias("n"), F.md5("loss_text").alias("loss")).collect()[0]
+    assert back["n"] == n and back["loss"] == hashlib.md5("".join(f"é <s> {i}" for i in range(1, n, 2)).encode()).hexdigest()
+    assert time.time() - begin < 40
+
+
+def test_any_mask_reads_back(spark):
+    rows = spark.createDataFrame([(1, i, r, f"t{i}<s>") for i, r in enumerate(["user", "assistant", "assistant", "user"])], "conv_id long, turn long, role string, text string")
+    made = chat.format_chat(rows)
+    whole = made.withColumn("loss_spans", F.expr("array(named_struct('start', 3, 'length', 9), named_struct('start', 16, 'length', 2))"))
+    got = chat.read_back(whole).collect()[0]
+    assert got["loss_text"] == chat_text(got["formatted"][3:12]) + chat_text(got["formatted"][16:18])
+    assert chat.read_back(made.withColumn("loss_spans", F.slice("loss_spans", 2, 1))).collect()[0]["loss_text"] == "t2<s>"
+
+
+def chat_text(x):
+    return re.sub(r"(?s)\\(.)", r"\1", x)
+
+
 # --- single operators ---------------------------------------------------------------------------
 
 
