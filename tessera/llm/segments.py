@@ -13,7 +13,7 @@ one key at one place, so at most ``length - gram + 1`` of them. Only the segment
 5. what is known of a segment goes back to all its occurrences, and from there to the documents.
 
 Equal ids and texts are one key of a document, so repeated rows count as occurrences and get the same
-ranges.
+ranges. A long text is cut in overlapping pieces of ``CHUNK`` bytes, so what a task holds of it is a small multiple of the text.
 """
 
 from __future__ import annotations
@@ -76,32 +76,46 @@ def encode(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def layout(texts: list[str], unit: Unit) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' units in one buffer, their starts and ends in it, and each text's first unit."""
-    if not unit.words:
-        data = [encode(t) for t in texts]
-        buffer = b"".join(data)
-        starts = np.arange(len(buffer))
-        return buffer, starts, starts + 1, np.r_[0, np.cumsum([len(x) for x in data], dtype=np.int64)]
-    lists = [encode(t).split() for t in texts]
-    all_ = [w for part in lists for w in part]
-    sizes = np.fromiter(map(len, all_), np.int64, len(all_))
-    ends = np.cumsum(sizes + 1) - 1
-    return b" ".join(all_), ends - sizes, ends, np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)]
+#: White space between words, as bytes.split() knows it, to blanks.
+_BLANKED = bytes(32 if i in b" \t\n\x0b\x0c\r" else i for i in range(256))
+
+
+def joined(text: str) -> bytes:
+    """The words of a text with one space between. Long texts are not taken apart, which would cost an object a word."""
+    data = encode(text)
+    if len(data) <= CHUNK:
+        return b" ".join(data.split())
+    data = data.translate(_BLANKED)
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data.strip(b" ")
 
 
-def cut(texts: list[str], unit: Unit, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Segments of the texts: text number, first window, windows, key, hash of the content."""
-    buffer, starts, ends, first = layout(texts, unit)
+def word_ends(data: bytes) -> np.ndarray:
+    """Where each word of joined words ends."""
+    return np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data)] if data else np.empty(0, np.int64)
+
+
+def cut(data: list[bytes], unit: Unit, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Segments of texts (words joined, or bytes): text number, first window, windows, key, hash of the content."""
     none = np.empty(0, np.int64)
-    if len(starts) < unit.length:
+    if unit.words:
+        buffer = b" ".join(x for x in data if x)
+        ends = word_ends(buffer)
+        starts = np.r_[0, ends[:-1] + 1]
+        first = np.r_[0, np.cumsum([x.count(b" ") + 1 if x else 0 for x in data], dtype=np.int64)]
+    else:
+        buffer = b"".join(data)
+        starts = np.arange(len(buffer))
+        ends, first = starts + 1, np.r_[0, np.cumsum([len(x) for x in data], dtype=np.int64)]
+    if first[-1] < unit.length:
         return none, none, none, none.astype(np.uint64), []
     hasher.load(np.frombuffer(buffer, np.uint8))
     last = len(starts) - unit.gram + 1
     width = unit.length - unit.gram + 1
     grams = hasher.of(starts[:last], ends[unit.gram - 1 :])
     key = sliding_min(grams, width)
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    text = np.repeat(np.arange(len(data)), np.diff(first))
     at = np.flatnonzero(text[: len(key)] == text[unit.length - 1 :])
     if not len(at):
         return none, none, none, none.astype(np.uint64), []
@@ -116,32 +130,67 @@ def cut(texts: list[str], unit: Unit, hasher: Hasher) -> tuple[np.ndarray, np.nd
     return own, window - first[own], n, key[begin], content
 
 
+def pieces(text: str, unit: Unit) -> Iterator[tuple[int, bytes]]:
+    """A long text in pieces of about ``CHUNK`` bytes, with the unit that each begins at; a window is in one of them."""
+    data = joined(text) if unit.words else encode(text)
+    if not unit.words:
+        for a in range(0, max(1, len(data) - unit.length + 1), CHUNK):
+            yield a, data[a : a + CHUNK + unit.length - 1]
+        return
+    ends = word_ends(data)
+    a = 0
+    while a == 0 or a + unit.length <= len(ends):
+        begin = int(ends[a - 1]) + 1 if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begin + CHUNK)))  # the first word of the next piece
+        yield a, data[begin : int(ends[min(len(ends), b + unit.length - 1) - 1]) if len(ends) else 0]
+        a = b
+
+
 def _members(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in (x for b in batches for x in common.chunks(b, "text", CHUNK)):
-            own, at, n, key, content = cut(part.column("text").to_pylist(), unit, hasher)
+
+        def out(part: pa.RecordBatch, found: tuple, shift: int = 0) -> pa.RecordBatch:
+            own, at, n, key, content = found
             row = pa.array(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64)), part.column("dk").take(row), part.column("doc").take(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64)), part.column("dk").take(row), part.column("doc").take(row), pa.array((at + shift).astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=["fp", "seg", "dk", "doc", "pos", "n"],
             )
 
+        for part in (x for b in batches for x in common.chunks(b, "text", CHUNK)):
+            texts = part.column("text").to_pylist()
+            if len(texts) == 1 and len(texts[0]) > CHUNK:
+                for first, data in pieces(texts[0], unit):
+                    yield out(part, cut([data], unit, hasher), first)
+            else:
+                yield out(part, cut([joined(t) if unit.words else encode(t) for t in texts], unit, hasher))
+
     return run
 
 
 def _content(unit: Unit):
-    """The bytes of the segments that stand in each text."""
+    """The bytes of the segments that stand in each text. Rows equal in id and text lie side by side and give them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for i in range(batch.num_rows):
+            for i, key in enumerate(batch.column("dk").to_pylist()):
+                if key == before:
+                    continue
+                before = key
                 part = batch.slice(i, 1)
                 wanted = part.column("wanted").flatten()
-                buffer, starts, ends, _ = layout(part.column("text").to_pylist(), unit)
-                pos, n = wanted.field("pos").to_numpy(), wanted.field("n").to_numpy()
-                ranges = zip(starts[pos].tolist(), ends[pos + n + unit.length - 2].tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays([*(wanted.field(c) for c in ("fp", "seg", "n", "members", "first", "segs")), pa.array([buffer[a:b] for a, b in ranges], pa.binary())], names=["fp", "seg", "n", "members", "first", "segs", "data"])
+                text = part.column("text")[0].as_py()
+                pos, n = wanted.field("pos").to_numpy().astype(np.int64), wanted.field("n").to_numpy()
+                if unit.words:
+                    data = joined(text)
+                    ends = word_ends(data)
+                    starts, stops = np.r_[0, ends[:-1] + 1][pos], ends[pos + n + unit.length - 2]
+                else:
+                    data, starts, stops = encode(text), pos, pos + n + unit.length - 1
+                found = [data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(wanted.field(c) for c in ("fp", "seg", "n", "members", "first", "segs")), pa.array(found, pa.binary())], names=["fp", "seg", "n", "members", "first", "segs", "data"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, rows = [], 0
@@ -191,7 +240,7 @@ def ranges(rows: DataFrame, unit: Unit, kernel: Kernel, spread: Callable[[DataFr
     places = segs.where(F.col("segs") > 1).groupBy("dk", F.col("doc").alias("_doc")).agg(wanted).withColumnRenamed("dk", "_dk")
     texts = rows.join(places, (F.col("dk") == F.col("_dk")) & F.col("doc").eqNullSafe(F.col("_doc")))
     shape = f"fp long, seg long, n int, members long, first {kind}, segs long, data binary"
-    content = scratch.put(texts.select("text", "wanted").mapInArrow(common.small(_content(unit)), shape), "content")
+    content = scratch.put(texts.select("dk", "text", "wanted").mapInArrow(common.small(_content(unit)), shape), "content")
     known = content.where(F.col("segs") <= HOT_SEGMENTS).repartition("fp").sortWithinPartitions("fp", "seg").mapInArrow(kernel, f"fp long, seg long, runs {run_kind}")
     found = scratch.put(known.unionByName(spread(content.where(F.col("segs") > HOT_SEGMENTS).dropDuplicates(["fp", "seg"]), scratch)).unionByName(settled), "found")
     scratch.drop("content")
@@ -201,7 +250,8 @@ def ranges(rows: DataFrame, unit: Unit, kernel: Kernel, spread: Callable[[DataFr
     runs = F.filter("runs", covers) if ordered else F.col("runs")
     placed = F.transform(runs, lambda r: F.struct((F.col("pos") + r["at"]).alias("start"), r["n"].alias("n")))
     each = members.join(found, ["fp", "seg"]).select("dk", "doc", placed.alias("runs")).where(F.size("runs") > 0)
-    return scratch.put(each.groupBy("dk", "doc").agg(F.flatten(F.collect_list("runs")).alias("runs")), "ranges")
+    # a set, made within each task first: rows equal in id and text have the same runs
+    return scratch.put(each.groupBy("dk", "doc").agg(F.flatten(F.collect_set("runs")).alias("runs")), "ranges")
 
 
 def with_ranges(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -210,14 +260,22 @@ def with_ranges(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(other, (F.col("dk") == F.col("_dk")) & F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "text", "runs")
 
 
-def covered(runs: pa.Scalar, n: int, length: int) -> np.ndarray:
-    """Which of a text's units the windows of its runs cover."""
-    change = np.zeros(n + 1, np.int64)
-    if runs.is_valid and len(runs.values):
-        start = runs.values.field("start").to_numpy().astype(np.int64)
-        np.add.at(change, start, 1)
-        np.add.at(change, start + runs.values.field("n").to_numpy() + (length - 1), -1)
-    return change[:-1].cumsum() > 0
+def covered(runs: pa.Scalar, length: int) -> list[tuple[int, int]]:
+    """Start and end of the stretches of units that the windows of a text's runs cover."""
+    if not runs.is_valid or not len(runs.values):
+        return []
+    start = runs.values.field("start").to_numpy().astype(np.int64)
+    end = start + runs.values.field("n").to_numpy() + (length - 1)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+    return list(zip(start[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist(), strict=True))
+
+
+def between(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The stretches of 0 to ``n`` that the spans leave."""
+    edge = [0, *(x for span in spans for x in span), n]
+    return [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if a < b]
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -9,7 +9,8 @@ with a smaller id.
 
 Defined cases: null texts have no words; ids that are null are larger than all others; rows equal in id
 never remove each other's words; windows that lie in the text twice count once; texts shorter than a
-window are kept; an empty table gives no rows; other columns are not read.
+window are kept; an empty table gives no rows; other columns are not read; very long texts are cut in
+overlapping pieces, with the same result.
 """
 
 from __future__ import annotations
@@ -110,14 +111,15 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, gone, digest, kept = [], [], [], []
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs"), strict=True):
-            words = segments.encode(text).split()
-            flags = segments.covered(runs, len(words), LENGTH) if runs.is_valid else None
-            left = words if flags is None or not flags.any() else [w for w, x in zip(words, flags.tolist(), strict=True) if not x]
-            total.append(len(words))
-            gone.append(len(words) - len(left))
-            joined = b" ".join(left)
-            digest.append(hashlib.sha256(joined).hexdigest())
-            kept.append(joined)
+            data = segments.joined(text)
+            n = data.count(b" ") + 1 if data else 0
+            if spans := segments.covered(runs, LENGTH):
+                ends = segments.word_ends(data)
+                data = b" ".join(data[int(ends[a - 1]) + 1 if a else 0 : int(ends[b - 1])] for a, b in segments.between(spans, n))
+            total.append(n)
+            gone.append(sum(b - a for a, b in spans))
+            digest.append(hashlib.sha256(data).hexdigest())
+            kept.append(data)
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).view(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 

@@ -11,7 +11,7 @@ shard's windows are looked up in the other's suffix array by binary search.
 
 Defined cases: null texts have no bytes; a string that repeats within one text counts, overlapping too;
 repeated rows repeat each other; texts shorter than a window are kept; an empty table gives no rows;
-other columns are not read. A cut within a character leaves bytes that are not UTF-8, so what is kept
+other columns are not read; very long texts are cut in overlapping pieces, with the same result. A cut within a character leaves bytes that are not UTF-8, so what is kept
 is binary.
 """
 
@@ -307,16 +307,11 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, gone, spans, digest, kept = [], [], [], [], []
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs"), strict=True):
             data = segments.encode(text)
-            cuts: list[tuple[int, int]] = []
-            if runs.is_valid:
-                flags = segments.covered(runs, len(data), LENGTH)
-                cuts = segments.runs_of(flags)
-                left = np.frombuffer(data, np.uint8)[~flags].tobytes()
-            else:
-                left = data
+            cuts = segments.covered(runs, LENGTH)
+            left = b"".join(data[a:b] for a, b in segments.between(cuts, len(data))) if cuts else data
             total.append(len(data))
             gone.append(len(data) - len(left))
-            spans.append([{"start": a, "length": n} for a, n in cuts])
+            spans.append([{"start": a, "length": b - a} for a, b in cuts])
             digest.append(hashlib.sha256(left).hexdigest())
             kept.append(left)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))

@@ -218,6 +218,28 @@ def test_substrings(spark, sf, docs, monkeypatch, hot, shard):
     assert plain(suffix.remove(frame).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256")) == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("chunk", [700, 5000])
+def test_substrings_of_long_texts(spark, sf, docs, monkeypatch, chunk):
+    """Texts longer than a piece, and repeated rows of them."""
+    monkeypatch.setattr(segments, "CHUNK", chunk)
+    frame = table(spark, sf).select("doc_id", "text").where("n_chars < 12000 and n_chars > 900").limit(40)
+    extra = [(1000, " \n".join(f"w{i % 900}" for i in range(4000))), (1001, "\t " + "é b " * 3000), (1002, "x" * 9000), (1003, " "), (None, "one " * 2000)]
+    frame = frame.unionByName(docs(extra + extra[:1], "doc_id long, text string"))
+    rows = [tuple(r) for r in frame.collect()]
+    assert plain(substring.remove(frame).drop("kept")) == brute_words(rows)
+    assert plain(suffix.remove(frame).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256")) == brute_bytes(rows)
+
+
+def test_very_many_equal_rows(spark):
+    """Time is linear in the rows that are equal in id and text."""
+    frame = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "repeat('some words that are here again and again ', 40) as text")
+    begin = time.time()
+    got = suffix.remove(frame).groupBy("n_bytes", "n_removed", F.size("spans").alias("s")).count().collect()
+    assert [tuple(r) for r in got] == [(1640, 1640, 1, 20_000)]
+    assert [tuple(r) for r in substring.remove(frame).groupBy("n_removed").count().collect()] == [(0, 20_000)]
+    assert time.time() - begin < 90
+
+
 @pytest.mark.parametrize(("n", "letters"), [(0, 2), (1, 2), (60, 2), (2500, 2), (3000, 4), (400, 1)])
 def test_suffix_array(n, letters):
     data = np.random.default_rng(n).integers(97, 97 + letters, n).astype(np.uint8)
