@@ -17,17 +17,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm import common, decontam, exact, mixing, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_scratch: list[str] = []
+#: The stage that was called last by itself, and the scratch tables that it made.
+_last: tuple[int, list[str]] = (-1, [])
 
 
-def _stage(work: Stage) -> Stage:
-    """Free the scratch tables of the stage before: its result has been written by now."""
+def _watched(work: Stage, spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """A stage's result and the scratch tables that it reads from."""
+    before = set(common.made())
+    out = work(spark, docs, sf_dir)
+    return out, [x for x in common.made() if x not in before]
+
+
+def _stage(place: int, work: Stage) -> Stage:
+    """A stage that is called by itself: the scratch tables of the stage before it go, as that one's result has been written."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(_scratch)
-        before = set(common.made())
-        out = work(spark, docs, sf_dir)
-        _scratch[:] = [x for x in common.made() if x not in before]
+        global _last
+        if _last[0] == place - 1:
+            common.release(_last[1])
+        out, made = _watched(work, spark, docs, sf_dir)
+        _last = (place, made)
         return out
 
     return run
@@ -54,25 +63,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", _stage(toxic)),
-    ("exact", _stage(copies)),
-    ("simhash", _stage(near_copies)),
-    ("decontam", _stage(leaks)),
-    ("mixing", _stage(mix)),
-]
+_WORK: list[tuple[str, Stage]] = [("toxicity", toxic), ("exact", copies), ("simhash", near_copies), ("decontam", leaks), ("mixing", mix)]
+STAGES: list[tuple[str, Stage]] = [(name, _stage(i, work)) for i, (name, work) in enumerate(_WORK)]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What the result reads from stays until the process ends, whatever runs after it."""
     docs = common.documents(spark, sf_dir)
     scratch = common.Scratch(spark, "pipeline")
-    for i, (name, work) in enumerate(STAGES):
-        docs = work(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+    for i, (name, work) in enumerate(_WORK):
+        docs, made = _watched(work, spark, docs, sf_dir)
+        if i < len(_WORK) - 1:
             docs = scratch.put(docs, name)
+            common.release(made)
             if i:
-                scratch.drop(STAGES[i - 1][0])
+                scratch.drop(_WORK[i - 1][0])
     return docs

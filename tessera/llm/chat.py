@@ -105,7 +105,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     turns = lambda x: F.transform(x, lambda p: F.struct(unescape(p["role"]).alias("role"), unescape(p["text"]).alias("text")))
     back = let(let(pieces, lambda x: let(running(sizes(x), len(BEGIN)), lambda starts: place(x, starts))), lambda x: F.struct(turns(x).alias("turns"), learned(x).alias("loss_text")))
-    return formatted.withColumn("_back", back).select(*[F.col(f"`{c}`") for c in formatted.columns], "_back.turns", "_back.loss_text")
+    return formatted.withColumn("_back", back).select(*[common.column(c) for c in formatted.columns], "_back.turns", "_back.loss_text")
 
 
 def probe(spark: SparkSession) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that a kernel works on at once.
 CHUNK_BYTES = 8 << 20
@@ -103,6 +103,11 @@ def as_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def column(name: str) -> Column:
+    """A top-level column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have, as Spark compares names."""
     taken = {c.lower() for c in df.columns}
@@ -111,6 +116,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def extended(df: DataFrame, more: str) -> T.StructType:
+    """The frame's schema, whatever its names are, and more fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the held-out quarter: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -469,8 +469,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     """The documents without a leak, with all their columns."""
     own, digest = common.unused(docs, "bad_id"), common.unused(docs, "bad_hash")
     bad = leaks(docs, benchmark, doc, text).select(F.col("doc_id").alias(own), F.col("text_hash").alias(digest)).distinct()
-    on = F.col(f"`{doc}`").eqNullSafe(F.col(own)) & (F.xxhash64(common.as_text(text)) == F.col(digest))
-    return docs.join(common.Scratch(docs.sparkSession, "leaks").put(bad, "bad"), on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    on = common.column(doc).eqNullSafe(F.col(own)) & (F.xxhash64(common.as_text(text)) == F.col(digest))
+    return docs.join(common.Scratch(docs.sparkSession, "leaks").put(bad, "bad"), on, "left_anti").select(*[common.column(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,25 +15,27 @@ A hot text reaches its owner once an input partition, not once a row. Rows find
 joining key and digest with the index; Spark splits the hot side of that join.
 
 Defined cases: a null text is empty; null ids sort last; of rows equal in id and length one stays;
-an empty table gives no rows; extra columns are carried, whatever their names.
+an empty table gives no rows; extra columns are carried, whatever their names; a very long text is an entry like any
+other and is held whole by the task that compares it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import common
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: The directory is at most so deep; deeper buckets chain.
-PREFIX_BITS = 16
+#: Key bits that are counted; buckets are split further by bits beyond them. So many buckets at most; they grow beyond it.
+PREFIX_BITS, MOST_BUCKETS = 16, 1 << 20
 #: A bucket above so many bytes of text is split; small inputs still get this many buckets a partition.
 BUCKET_BYTES, BUCKETS_A_PARTITION, LEAST_BUCKET = 8 << 20, 4, 32 << 10
 #: Bytes of texts known to repeat that a task holds back, to send them once.
@@ -76,9 +78,11 @@ def directory(sizes: dict[int, int], capacity: int) -> tuple[int, list[tuple[int
         if held > capacity and wide:
             deep = max(deep, depth + 1)
             todo += [(2 * prefix, depth + 1), (2 * prefix + 1, depth + 1)]
-        else:
-            done.append((prefix, depth))
-    return deep, sorted(done, key=lambda b: b[0] << (PREFIX_BITS - b[1]))
+        else:  # beyond the counted bits the halves are taken to be alike
+            more = max(0, math.ceil(math.log2(max(1, held) / max(1, capacity)))) if not wide else 0
+            deep = max(deep, depth + more)
+            done += [((prefix << more) + i, depth + more) for i in range(1 << more)]
+    return deep, sorted(done, key=lambda b: b[0] << (64 - b[1]))
 
 
 def _better(a: tuple[int, Any], b: tuple[int, Any]) -> bool:
@@ -171,20 +175,18 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame, scratch: common.Scratch, doc: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The index: id, text, row (a struct of the columns in ``carry``), key, chain, group_size, n_points, text_sha256."""
+    """The index: id, text, row (a struct: whether the text was null, then the columns in ``carry`` as c0, c1, ..), key, chain, group_size, n_points, text_sha256."""
     spark = docs.sparkSession
     plain = docs.select(common.as_text(text).alias("text"))
     sizes = plain.mapInArrow(common.small(_profile), "prefix int, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes")).collect()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     total = sum(r["bytes"] for r in sizes)
-    capacity = max(LEAST_BUCKET, min(BUCKET_BYTES, total // (BUCKETS_A_PARTITION * parts)))
+    capacity = max(LEAST_BUCKET, min(BUCKET_BYTES, total // (BUCKETS_A_PARTITION * parts)), total // MOST_BUCKETS)
     _, buckets = directory({r["prefix"]: r["bytes"] for r in sizes}, capacity)
     bounds = np.array([p << (64 - d) if d else 0 for p, d in buckets], np.uint64)
-    rows = docs.select(F.col(doc).alias("id"), common.as_text(text).alias("text"), F.struct(F.col(text).isNull().alias("_null"), *[F.col(f"`{c}`") for c in carry or []]).alias("row"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    entry = ", ".join(f"`{k}` {v}" for k, v in kinds.items())
-    entries = rows.mapInArrow(_combine(bounds), f"{entry}, bucket int, key long, n long").repartition("bucket").sortWithinPartitions("key")
-    return scratch.put(entries.mapInArrow(_chain, f"{entry}, key long, chain int, group_size long, n_points long, text_sha256 string"), "index")
+    rows = docs.select(F.col(doc).alias("id"), common.as_text(text).alias("text"), F.struct(F.col(text).isNull().alias("was_null"), *[common.column(c).alias(f"c{i}") for i, c in enumerate(carry or [])]).alias("row"))
+    entries = rows.mapInArrow(_combine(bounds), common.extended(rows, "bucket int, key long, n long")).repartition("bucket").sortWithinPartitions("key")
+    return scratch.put(entries.mapInArrow(_chain, common.extended(rows, "key long, chain int, group_size long, n_points long, text_sha256 string")), "index")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +202,23 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = common.Scratch(docs.sparkSession, "exact")
-    index = build_index(docs, scratch, doc, text).select("key", "text_sha256", "group_size", F.col("id").alias("keep_id"), "n_points")
+    index = build_index(docs, scratch, doc, text).select("key", "text_sha256", "group_size", F.col("id").alias("keep_id"))
     rows = docs.select(F.col(doc).alias("id"), common.as_text(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(common.small(_digests), f"doc_id {kind}, points long, key long, text_sha256 string").join(index, ["key", "text_sha256"])
-    first = F.row_number().over(W.partitionBy("doc_id", "text_sha256").orderBy(F.col("points").desc()))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("n_points")) & (F.col("_first") == 1)
-    return found.withColumn("_first", first).select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
+    found = rows.mapInArrow(common.small(_digests), f"doc_id {kind}, points long, key long, text_sha256 string")
+    found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()), "digests")
+    # which of the rows that are equal in id and length stays; combined within each task first
+    stays = found.groupBy("key", "text_sha256").agg(F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    known = scratch.put(index.join(stays.select("key", "text_sha256", F.col("first.row").alias("kept_row")), ["key", "text_sha256"]), "known")
+    return found.join(known, ["key", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("kept_row")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     others = [c for c in docs.columns if c != text]
     index = build_index(docs, common.Scratch(docs.sparkSession, "exact"), doc, text, others)
-    back = F.when(~F.col("row._null"), F.col("text")).alias(text)
-    return index.select(*[back if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+    back = F.when(~F.col("row.was_null"), F.col("text").cast(docs.schema[text].dataType)).alias(text)
+    return index.select(*[back if c == text else F.col("row").getField(f"c{others.index(c)}").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,10 +293,10 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int
 
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = NEAR_WORDS) -> DataFrame:
     """The first document of each component of near-duplicates, with all columns."""
-    names = docs.columns
-    stays = classes(docs, doc, text, words).where("stays").select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_hash")).distinct()
-    on = F.col(f"`{doc}`").eqNullSafe(F.col("_stay_id")) & (F.xxhash64(common.as_text(text)) == F.col("_stay_hash"))
-    return docs.join(stays, on, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    own, digest = common.unused(docs, "stay_id"), common.unused(docs, "stay_hash")
+    stays = classes(docs, doc, text, words).where("stays").select(F.col("doc_id").alias(own), F.col("text_hash").alias(digest)).distinct()
+    on = common.column(doc).eqNullSafe(F.col(own)) & (F.xxhash64(common.as_text(text)) == F.col(digest))
+    return docs.join(stays, on, "left_semi").select(*[common.column(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

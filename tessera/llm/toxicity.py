@@ -13,7 +13,7 @@ Learning takes a seeded sample of about ``SAMPLE_ROWS`` toxic rows and ``CLEAN_T
 whole texts each (all rows if there are fewer); the driver gets the sample's votes and at most ``MAX_VOTERS`` voters.
 
 Defined cases: a null text is empty and has a score; null labels teach nothing; an id with several
-labels is toxic if one of them says so; without labels the lexicon's prior accuracies decide; repeated
+labels is toxic if one of them says so, and one with several rows teaches by its smallest text; without labels the lexicon's prior accuracies decide; repeated
 rows are rows of their own; an empty table gives no rows; other columns are not read.
 """
 
@@ -219,7 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     scratch = common.Scratch(docs.sparkSession, "toxicity")
     rows = docs.select(F.col(doc).alias("_id"), common.as_text(text).alias("text"))
     # the labels of the sample: at most about (1 + CLEAN_TIMES) * sample_rows, whatever the input
-    sample = scratch.put(rows.join(F.broadcast(marks.where(pick)), "_id").select("text", "toxic"), "sample")
+    picked = rows.join(F.broadcast(marks.where(pick)), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = scratch.put(picked.select("text", "toxic"), "sample")
     own = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = own.get(1, 0), own.get(0, 0)
     names = list(dict.fromkeys([*mine(sample, n1, n0), *("=" + x for x in LEXICON), *_STYLE]))
@@ -258,10 +259,9 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), common.as_text(text).alias("_text"))
-    kind = packed.schema["_row"].dataType.simpleString()
-    kept = packed.mapInArrow(common.small(_scorer(model), "_text"), f"_row {kind}, _score double").where(F.col("_score") < THRESHOLD)
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    packed = docs.select(F.struct(*[common.column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), common.as_text(text).alias("_text"))
+    kept = packed.mapInArrow(common.small(_scorer(model), "_text"), common.extended(packed.select("_row"), "_score double")).where(F.col("_score") < THRESHOLD)
+    return kept.select(*[F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,20 @@ def test_odd_rows(spark, docs, run, per_row):
     assert run(spark, frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [exact.deduplicate, simhash.deduplicate, lambda d: toxicity.reject(d, toxicity.learn(d, d.select("doc_id", F.lit(0).alias("toxic")).limit(0))), lambda d: decontam.clean(d, d.select(F.lit(1).alias("item_id"), F.lit("nothing of this is there").alias("text")))])
+def test_clashing_column_names(spark, docs, run):
+    """Every column comes through with its value, whatever its name."""
+    names = ["crawl-date", "a.b", "_null", "_stay_id", "_bad_id", "bad_id", "stay_id", "BAD_HASH", "stay_hash", "was_null", "c0", "key", "n", "bucket", "row", "id", "_row", "_text", "_score", "fp", "v", "text_hash", "two words", "q`t"]
+    frame = docs([(1, "one text of a few words"), (2, None), (3, "another, quite different, text of more words")])
+    for i, name in enumerate(names):
+        frame = frame.withColumn(name, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    out = run(frame)
+    assert out.columns == frame.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert got[2]["text"] is None and all(got[d][5 + i] == f"{i}-{d}" for d in got for i in range(len(names)))
+
+
 def test_odd_pages_and_chats(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://a/x", ""), (2, "http://a/x", "<p>a"), (None, "x", "no tags &amp; <b>bold")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html.extract_pages(pages).collect()) == ["", "", "a", "no tags & bold"]
@@ -163,6 +177,15 @@ def test_directory_splits():
     deep, buckets = exact.directory({0: 100, 1: 100, 40000: 50}, 120)
     assert deep == exact.PREFIX_BITS and sum(2 ** (exact.PREFIX_BITS - d) for _, d in buckets) == 2**exact.PREFIX_BITS
     assert exact.directory({}, 1) == (0, [(0, 0)])
+    deep, buckets = exact.directory({7: 1000}, 120)
+    assert deep == exact.PREFIX_BITS + 4 and sum(2 ** (64 - d) for _, d in buckets) == 2**64
+
+
+def test_one_of_many_equal_rows_stays(spark, docs):
+    got = [tuple(r)[:4] for r in exact.groups(docs([(1, "x y")] * 50 + [(1, "xy"), (0, "x y"), (None, "x  y")])).collect()]
+    assert {g[1:3] for g in got} == {(None, 53)} and [g[0] for g in got if g[3]] == [None]
+    got = [tuple(r)[:4] for r in exact.groups(docs([(1, "x y")] * 50 + [(None, "x y")])).collect()]
+    assert sum(g[3] for g in got) == 1 and [g[0] for g in got if g[3]] == [1]
 
 
 def test_chains_compare_bytes(spark, docs, monkeypatch):
@@ -475,6 +498,14 @@ def test_lcs():
         assert decontam.lcs(masks, len(a), b) == t[-1][-1]
 
 
+def test_two_pipelines_at_once(spark, sf):
+    pipeline = importlib.import_module("corpus_pipeline")
+    one = pipeline.run(spark, sf).select("doc_id", "taken")
+    first = sorted(map(tuple, one.collect()))
+    two = pipeline.run(spark, sf).select("doc_id", "taken")
+    assert sorted(map(tuple, two.collect())) == first == sorted(map(tuple, one.collect()))
+
+
 def test_pipeline(spark, sf):
     pipeline = importlib.import_module("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact", "simhash", "decontam", "mixing"]
