@@ -8,10 +8,10 @@ ASCII texts skip it.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Expansions of legal forms in names, by country.
 LEGAL_FORMS = {
@@ -29,6 +29,11 @@ STREET_WORDS = {
 }
 # Phrases that a name's core does not end in.
 LEGAL_SUFFIXES = ("corporation", "incorporated", "private", "limited", "company", "limited liability company", "limited liability partnership", "societe", "societe responsabilite limitee", "societe actions simplifiee", "societe anonyme", "entreprise unipersonnelle", "etablissements", "gmbh")
+# Patterns of the primary view (a polite form before a name, a trade-name mark, dotted initials) and of units.
+POLITE = r"^(m\s*/\s*s|m\s*\.\s*s)\.?\s+"
+TRADE_MARK = r"(?<![\p{L}\p{N}_])d\s*/\s*b\s*/\s*a(?![\p{L}\p{N}_])"
+INITIAL = r"(?<![\p{L}\p{N}_])([a-z])\.(?=[a-z](?![\p{L}\p{N}_])|\s|[a-z]\.|$)"
+UNIT = r"(?i)(?<![\p{L}\p{Nd}_])(?:suite|ste|apt|unit|floor|fl|bldg|building)\s+([A-Za-z0-9\-/]+)"
 # What counts as a missing field.
 MISSING = ("", "nan", "none", "null", "-", "n/a", "na")
 
@@ -64,9 +69,9 @@ def keep_letters(x: Column) -> Column:
 def unicode_view(x: Column) -> Column:
     """The primary view of a text."""
     y = F.replace(fold(F.coalesce(x, F.lit(""))), F.lit("&"), F.lit(" and "))
-    y = F.regexp_replace(y, r"^(m\s*/\s*s|m\s*\.\s*s)\.?\s+", "")
-    y = F.regexp_replace(y, r"d/b/a", "dba")
-    y = F.regexp_replace(y, r"(?<![\p{L}\p{N}_])([a-z])\.(?=[a-z](?![\p{L}\p{N}_])|\s|[a-z]\.|$)", "$1")
+    y = F.regexp_replace(y, POLITE, "")
+    y = F.regexp_replace(y, TRADE_MARK, "dba")
+    y = F.regexp_replace(y, INITIAL, "$1")
     return collapse(keep_letters(y))
 
 
@@ -101,14 +106,41 @@ def address_view(x: Column, country: Column, latin: bool = False) -> Column:
     return expand_by_country(latin_view(x) if latin else unicode_view(x), country, STREET_WORDS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def name_core(x: Column) -> Column:
-    """A normalised name without the legal phrases it ends in; may be empty."""
-    phrases = "|".join(sorted(LEGAL_SUFFIXES, key=lambda p: (-p.count(" "), p)))
-    return F.trim(F.regexp_replace(x, rf"(?:(?:^| )(?:{phrases}))+$", ""))
+    """A normalised name without the legal phrases it ends in, the longest first; may be empty.
+
+    Only the legal words at the end are looked at, from the end on: time is linear in the name.
+    """
+    words = sorted({w for p in LEGAL_SUFFIXES for w in p.split(" ")})
+    longest = max(p.count(" ") + 1 for p in LEGAL_SUFFIXES)
+    by_length = {n: [p for p in LEGAL_SUFFIXES if p.count(" ") + 1 == n] for n in range(longest, 0, -1)}
+
+    def drop(t: Column, end: Column) -> Column:
+        """Where the name ends once the phrase before ``end`` has gone."""
+        out = end
+        for n in range(1, longest + 1):
+            if by_length[n]:
+                ending = F.concat_ws(" ", *[F.get(t, end - n + i) for i in range(n)])
+                out = F.when((end >= n) & ending.isin(by_length[n]), end - n).otherwise(out)
+        return out
+
+    def core(t: Column) -> Column:
+        other = F.array_max(F.transform(t, lambda w, i: F.when(w.isin(words), -1).otherwise(i)))
+        tail = F.size(t) - 1 - other
+        steps = F.when(tail > 0, F.sequence(F.lit(1), tail)).otherwise(F.array().cast("array<int>"))
+        end = F.aggregate(steps, F.size(t), lambda end, _: drop(t, end))
+        return F.array_join(F.slice(t, F.lit(1), end), " ")
+
+    return F.when(x == "", "").otherwise(let(F.split(x, " "), core))
 
 
 def is_missing(x: Column, words: tuple[str, ...] = MISSING) -> Column:
-    return F.lower(F.trim(F.coalesce(x, F.lit("")))).isin(*words)
+    return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")).isin(*words)
 
 
 def is_blank(x: Column) -> Column:
@@ -129,7 +161,7 @@ def house_numbers(x: Column) -> Column:
 
 
 def unit_numbers(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(r"(?i)(?<![\p{L}\p{Nd}_])(?:suite|ste|apt|unit|floor|fl|bldg|building)\s+([A-Za-z0-9\-/]+)"), F.lit(1))
+    return F.regexp_extract_all(x, F.lit(UNIT), F.lit(1))
 
 
 def numbers(address: Column) -> Column:
@@ -137,20 +169,34 @@ def numbers(address: Column) -> Column:
     return F.struct(postal.alias("postal_candidates"), (F.size(postal) == 1).alias("pin_confident"), house_numbers(address).alias("house_tokens"), unit_numbers(address).alias("unit_tokens"), address.alias("raw"))
 
 
+def country_key(country: Column) -> Column:
+    """The country as it is written, trimmed; ``__default__`` if there is none. Countries without tables have the default ones."""
+    y = F.trim(F.coalesce(country, F.lit("")))
+    return F.when(y == "", "__default__").otherwise(y)
+
+
 def normalized(name: Column, address: Column, country: Column) -> Column:
     """All views of a record in one struct."""
-    n, a = F.coalesce(name, F.lit("")), F.coalesce(address, F.lit(""))
-    nv, av = name_view(n, country), address_view(a, country)
-    nl, al = name_view(n, country, latin=True), address_view(a, country, latin=True)
+    n, a, c = F.coalesce(name, F.lit("")), F.coalesce(address, F.lit("")), country_key(country)
+    nv, av = name_view(n, c), address_view(a, c)
+    nl, al = name_view(n, c, latin=True), address_view(a, c, latin=True)
     return F.struct(
-        n.alias("name_raw"), a.alias("address_raw"), nv.alias("name"), av.alias("address"), nl.alias("name_latin"), al.alias("address_latin"),
+        n.alias("name_raw"), a.alias("address_raw"), F.coalesce(country, F.lit("")).alias("country_raw"), c.alias("country_key"),
+        nv.alias("name"), av.alias("address"), nl.alias("name_latin"), al.alias("address_latin"),
         name_core(nv).alias("name_core"), F.replace(nv, F.lit(" "), F.lit("")).alias("name_compact"),
         F.struct(is_missing(n).alias("name_missing"), is_missing(a).alias("address_missing")).alias("field_missing"),
-        F.struct((~is_blank(n) & is_blank(nv)).alias("unicode_empty"), (~is_blank(n) & is_blank(nl)).alias("latin_empty")).alias("normalization_loss"),
+        F.struct((is_blank(nv) & ~is_missing(n)).alias("unicode_empty"), (is_blank(nl) & ~is_blank(nv)).alias("latin_empty")).alias("normalization_loss"),
         F.struct(scripts(n).alias("name"), scripts(a).alias("address")).alias("script"), numbers(a).alias("numbers"),
     )
 
 
+def normalized_once(rows: DataFrame, key: str, name: str = "name", address: str = "address", country: str = "country") -> DataFrame:
+    """``key`` and rec, all views of a record: one row an id, to be written or joined by it. Of repeated ids the smallest record stays."""
+    parts = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (name, address, country)])
+    one = rows.groupBy(key).agg(F.min(parts).alias("_r"))
+    return one.select(key, normalized(F.col("_r").getField(name), F.col("_r").getField(address), F.col("_r").getField(country)).alias("rec"))
+
+
 def search_ascii(x: Column, words: Mapping[str, str] | None = None) -> Column:
     """The search view: Latin only, web suffixes and trailing numbers gone, digits read as letters within words."""
     y = F.lower(_latin(F.coalesce(x, F.lit(""))))
@@ -207,9 +253,9 @@ def channel_text(name: Column, address: Column, mode: str) -> Column:
 
 
 def search_text(name: Column, address: Column, country: Column) -> Column:
-    """What blocking searches by country: the US only the first five address tokens."""
+    """What blocking searches by country: the name twice, and of the address in the US only the first five tokens."""
     short = F.array_join(F.slice(F.split(address, " "), 1, 5), " ")
-    return F.trim(F.concat_ws(" ", name, F.when(country == "US", short).otherwise(address)))
+    return F.trim(F.concat_ws(" ", name, name, F.when(country == "US", short).otherwise(address)))
 
 
 def pair_text(name: Column, address: Column, country: Column | None = None) -> Column:

@@ -5,9 +5,12 @@ The caps are part of the operator's meaning: keys above them say nothing about a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions import fuzzy, text
+from tessera.operators import products
 
 # The most postings of a key, and a key's weight, by kind.
 CAPS = {"exact": 500, "pin": 500, "bignum": 500, "house": 250, "prefix": 250, "token": 150, "loc": 150}
@@ -76,18 +79,33 @@ def pin_block(queries: DataFrame, pool: DataFrame, most: int = 40) -> DataFrame:
     return q.select("qid", "pin").join(ranked.select("tid", "pin", "rank"), "pin").select("qid", "tid", "rank")
 
 
-def backfill(queries: DataFrame, pool: DataFrame, found: DataFrame, per_key: int = 200, cap: int = 500, least: float = 0.6, top: int = 10) -> DataFrame:
-    """More pairs by the sound of the first name token or the house number, kept by their fuzzy ratio."""
-    house = F.regexp_extract("address", r"\b(\d{1,6})\b", 1)
-    sound = text.soundex(F.get(F.split("name", " "), F.lit(0)))
-    kinds = F.filter(F.array(F.struct(F.lit("sound").alias("kind"), sound.alias("key")), F.struct(F.lit("house").alias("kind"), house.alias("key"))), lambda k: k["key"] != "")
-    q, p = queries.select("qid", "name", "country", F.inline(kinds)), pool.select("tid", F.col("name").alias("other"), "country", F.inline(kinds))
+def backfill(
+    queries: DataFrame, pool: DataFrame, found: DataFrame, weak: DataFrame, likeness: Callable[[Column, Column], Column] = fuzzy.wratio, per_key: int = 200, cap: int = 500, least: float = 0.6, top: int = 10, most: int = 60
+) -> DataFrame:
+    """qid, tid, score, rank: the lists of ``found``, those of the weak queries with more pairs.
+
+    The new pairs share the sound of the first name token or a house number, within a country; keys
+    above ``cap`` postings say nothing, of others the first ``per_key`` by tid count. The ``top`` likest by their search
+    texts, at ``least`` or more, join the list, which keeps its ``most`` best. Frames have name, address, country, text.
+    """
+    sound = F.struct(F.lit("sound").alias("kind"), text.soundex(F.get(F.split("name", " "), F.lit(0))).alias("key"))
+    houses = _distinct_numbers(F.col("address"))
+    kinds = F.concat(F.array(sound), F.transform(houses, lambda n: F.struct(F.lit("house").alias("kind"), n.alias("key"))))
+    q = queries.join(weak.select("qid"), "qid", "left_semi").select("qid", "country", F.inline(kinds))
+    p = pool.select("tid", "country", F.inline(kinds))
     key = W.partitionBy("country", "kind", "key")
     p = p.withColumn("_all", F.count(F.lit(1)).over(key)).withColumn("_n", F.row_number().over(key.orderBy("tid"))).where((F.col("_all") <= cap) & (F.col("_n") <= per_key))
-    new = q.join(p, ["country", "kind", "key"]).select("qid", "tid", "name", "other").distinct().join(found.select("qid", "tid"), ["qid", "tid"], "left_anti")
-    scored = new.withColumn("score", fuzzy.wratio(F.col("name"), F.col("other"))).where(F.col("score") >= least)
-    order = W.partitionBy("qid").orderBy(F.col("score").desc(), "tid")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("qid", "tid", "score", "rank")
+    new = q.join(p, ["country", "kind", "key"]).select("qid", "tid").distinct().join(found.select("qid", "tid"), ["qid", "tid"], "left_anti")
+    texts = new.join(queries.select("qid", F.col("text").alias("a")), "qid").join(pool.select("tid", F.col("text").alias("b")), "tid")
+    scored = texts.select("qid", "tid", F.round(likeness(F.col("a"), F.col("b")), 6).alias("score")).where(F.col("score") >= least)
+    added = products.ranked(scored, top).select("qid", "tid", "score")
+    mine = found.join(weak.select("qid"), "qid", "left_semi").select("qid", "tid", "score")
+    others = found.join(weak.select("qid"), "qid", "left_anti").select("qid", "tid", "score", "rank")
+    return products.ranked(mine.unionByName(added), most).unionByName(others)
+
+
+def _distinct_numbers(address: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(address, F.lit(r"(?<![\p{L}\p{N}_])(\d{1,6})(?![\p{L}\p{N}_])"), F.lit(1)))
 
 
 def duplicates(pool: DataFrame) -> DataFrame:

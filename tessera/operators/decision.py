@@ -13,6 +13,9 @@ DIAGONAL = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 SINGLETON_GRID = (0.6, 0.7, 0.75, 0.8, 0.82, 0.85, 0.88, 0.9, 0.92, 0.95)
 MATCH_GRID = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9)
 BASE_POLICY = (0.7, 0.7)
+#: The policies' grid (0.05 to 0.995 by 0.005) and the free tuner's (0.3 to 0.9 by 0.05).
+POLICY_GRID = tuple(round(i / 1000, 3) for i in range(50, 1000, 5))
+FREE_GRID = tuple(round(i / 100, 2) for i in range(30, 91, 5))
 
 
 def two_threshold(scored: DataFrame, ts: Column | float, tm: Column | float, score: str = "p") -> DataFrame:
@@ -30,30 +33,56 @@ def grid(spark, singles: Sequence[float], matches: Sequence[float], ordered: boo
     return spark.createDataFrame(cells, "ts double, tm double")
 
 
+def _reached(x: Column, grid: Sequence[float]) -> Column:
+    """How many values of an ascending grid ``x`` reaches, by bisection."""
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(x >= grid[middle], part(middle + 1, hi)).otherwise(part(lo, middle))
+
+    return part(0, len(grid))
+
+
 def sweep(scored: DataFrame, truth: DataFrame, cells: DataFrame, groups: bool = False) -> DataFrame:
     """ts, tm, macro_f05 of each cell, over all queries of ``truth`` counts (qid, n_true).
 
     With ``groups``, also grp: 'global' and each country of ``truth``, in the same pass.
 
-    ``scored`` has qid, p, is_match. A query's counts change only at its own scores, so the cells meet
-    per-query prefix counts, not pairs: at most one row a query and cell.
+    ``scored`` has qid, p, is_match. A query's score changes over the tm grid only at its own pairs, so it
+    gives one step up and one down for each of them; summed by the place of its best score on the ts
+    grid, running sums over both grids are the scores of all cells. No query meets a cell.
     """
-    w = W.partitionBy("qid")
-    at = scored.groupBy("qid", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("is_match").alias("tp"))
-    down = w.orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = at.withColumn("n", F.sum("n").over(down)).withColumn("tp", F.sum("tp").over(down))
-    lists = steps.groupBy("qid").agg(F.max("p").alias("best"), F.collect_list(F.struct("p", "n", "tp")).alias("steps"))
-    # a bounded grid: the cells are a literal array in each row
-    values = F.array(*[F.struct(F.lit(r["ts"]).alias("ts"), F.lit(r["tm"]).alias("tm")) for r in cells.collect()])
-    named = truth.withColumn("grp", F.array(F.lit("global"), F.col("country")) if groups else F.array(F.lit("global")))
-    each = named.join(lists, "qid", "left").select("qid", "grp", "n_true", "best", "steps", F.explode(values).alias("cell")).select("*", "cell.*")
-    reached = F.array_max(F.transform(F.filter(F.coalesce("steps", F.array().cast("array<struct<p:double,n:bigint,tp:bigint>>")), lambda s: s["p"] >= F.col("tm")), lambda s: F.struct(s["n"].alias("n"), s["tp"].alias("tp"))))
-    kept = F.when(F.col("best") >= F.col("ts"), reached)
-    each = each.withColumn("n_pred", F.coalesce(kept["n"], F.lit(0))).withColumn("n_tp", F.coalesce(kept["tp"], F.lit(0)))
-    each = each.withColumn("f05", metrics.f05(F.col("n_true"), F.col("n_pred"), F.col("n_tp")))
-    if groups:
-        each = each.withColumn("grp", F.explode("grp"))
-    return each.groupBy(*["grp"] * groups, "ts", "tm").agg(F.round(F.avg("f05"), 9).alias("macro_f05"))
+    wanted = [(r["ts"], r["tm"]) for r in cells.collect()]  # a bounded grid
+    singles, matches = (sorted({c[i] for c in wanted}) for i in (0, 1))
+    n_k = len(matches)
+    down = W.partitionBy("qid").orderBy(F.col("b").desc())
+    best = scored.groupBy("qid").agg(_reached(F.max("p"), singles).alias("i"))
+    at = scored.groupBy("qid", _reached(F.col("p"), matches).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_match").alias("tp")).where(F.col("b") > 0)
+    running = down.rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = at.select("qid", F.coalesce(F.lead("b").over(down), F.lit(0)).alias("from"), F.col("b").alias("to"), F.sum("n").over(running).alias("n_pred"), F.sum("tp").over(running).alias("n_tp"))
+    above = at.groupBy("qid").agg(F.max("b").alias("from")).select("qid", "from", F.lit(n_k).alias("to"), F.lit(0).cast("long").alias("n_pred"), F.lit(0).cast("long").alias("n_tp"))
+    named = truth.select("qid", "n_true", (F.array(F.lit("global"), F.col("country")) if groups else F.array(F.lit("global"))).alias("grp"))
+    named = named.join(best, "qid", "left").select("qid", "n_true", F.explode("grp").alias("grp"), F.coalesce("i", F.lit(0)).alias("i"))
+    empty = metrics.f05(F.col("n_true"), F.lit(0), F.lit(0))
+    parts = named.join(steps.unionByName(above), "qid", "left")
+    value = F.when(F.col("from").isNull(), empty).otherwise(metrics.f05(F.col("n_true"), F.col("n_pred"), F.col("n_tp")))
+    lo, hi = F.coalesce("from", F.lit(0)), F.coalesce("to", F.lit(n_k))
+    jumps = parts.select("grp", "i", F.inline(F.array(F.struct(lo.alias("k"), value.alias("d")), F.struct(hi.alias("k"), (-value).alias("d"))))).groupBy("grp", "i", "k").agg(F.sum("d").alias("d"))
+    totals = named.groupBy("grp", "i").agg(F.count(F.lit(1)).alias("n"), F.sum(empty).alias("e"))
+    # all places of both grids for each group: the running sums need every one
+    all_i = F.explode(F.sequence(F.lit(0), F.lit(len(singles)))).alias("i")
+    dense = totals.select("grp").distinct().select("grp", all_i).join(totals, ["grp", "i"], "left").na.fill(0)
+    up = W.partitionBy("grp").orderBy("i")
+    dense = dense.withColumn("lost", F.coalesce(F.sum("e").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).withColumn("all", F.sum("n").over(W.partitionBy("grp")))
+    dense = dense.select("grp", "i", "lost", "all", F.explode(F.sequence(F.lit(0), F.lit(n_k - 1))).alias("k")).join(jumps, ["grp", "i", "k"], "left").na.fill(0.0, ["d"])
+    own = F.sum("d").over(W.partitionBy("grp", "i").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
+    reach = W.partitionBy("grp", "k").orderBy(F.col("i").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = dense.withColumn("own", own).withColumn("kept", F.sum("own").over(reach))
+    places = cells.sparkSession.createDataFrame([(ts, tm, singles.index(ts) + 1, matches.index(tm)) for ts, tm in dict.fromkeys(wanted)], "ts double, tm double, i int, k int")
+    out = summed.join(F.broadcast(places), ["i", "k"])
+    return out.select(*["grp"] * groups, "ts", "tm", F.round((F.col("kept") + F.col("lost")) / F.col("all"), 9).alias("macro_f05"))
 
 
 # The weights that score fusion tries.

@@ -9,9 +9,15 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera import session
+from tessera.functions import text
+from tessera.operators import blocking, lexical
+
 # The channels' weights and depths.
 CHANNEL_WEIGHTS = {"joint": 1.2, "address_only": 1.1, "name_only": 0.8, "structured": 0.7}
 CHANNEL_DEPTHS = {"joint": 100, "name_only": 100, "address_only": 150, "structured": 100}
+# The part of the pool that a gram of a lexical channel may be in.
+CHANNEL_MAX_DF = {"joint": 0.4, "name_only": 0.5, "address_only": 0.5}
 DUPLICATE_DISCOUNT = 0.99
 
 
@@ -98,7 +104,21 @@ def set_hash(ranking: DataFrame, score: str = "rrf") -> DataFrame:
     return ranking.groupBy("qid").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), ","), 256).alias("digest"))
 
 
+def retrieve(queries: DataFrame, pool: DataFrame, depths: Mapping[str, int] = CHANNEL_DEPTHS, max_df: Mapping[str, float] = CHANNEL_MAX_DF) -> dict[str, DataFrame]:
+    """The four channels of frames with name, address and country, each to its depth."""
+
+    def texts(rows: DataFrame, key: str, mode: str) -> DataFrame:
+        return rows.select(key, "country", text.channel_text(F.col("name"), F.col("address"), mode).alias("text"))
+
+    out = {mode: lexical.channel(texts(queries, "qid", mode), texts(pool, "tid", mode), lexical.Config(max_df=max_df[mode], top=depths[mode])) for mode in ("joint", "name_only", "address_only")}
+    return out | {"structured": blocking.structured(queries, pool, depths["structured"])}
+
+
 def generate(queries: DataFrame, pool: DataFrame, channels: Mapping[str, DataFrame], siblings: DataFrame, top: int | None = 100) -> tuple[DataFrame, DataFrame]:
-    """Candidates without a look at the truth: fuse, expand, cover. Also the pairs' channel lookups."""
-    hits = stack(channels, CHANNEL_DEPTHS)
-    return cover(expand_duplicates(reciprocal_rank(hits), siblings), queries, top), lookups(hits, channels)
+    """Candidates without a look at the truth: fuse, expand, cover. Also the pairs' channel lookups.
+
+    The channels' hits and the fused ranking are written once each, as both are read more than once.
+    """
+    hits = session.written(stack(channels, CHANNEL_DEPTHS))
+    ranking = session.written(reciprocal_rank(hits))
+    return cover(expand_duplicates(ranking, siblings), queries, top), lookups(hits, channels)

@@ -1,11 +1,14 @@
-"""Character n-gram TF-IDF and the top-k similarity join over shared grams."""
+"""Character n-gram TF-IDF and the top-k similarity search over shared grams."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.operators import products
+
 
 @dataclass(frozen=True)
 class Config:
@@ -18,7 +21,7 @@ class Config:
 
 
 # The search settings by country.
-BY_COUNTRY = {"India": Config(top=90, max_df=0.4, threshold=0.02), "US": Config(top=80, min_df=3, max_df=0.35, threshold=0.02), "__default__": Config(top=40, threshold=0.02)}
+BY_COUNTRY = {"India": Config(top=90, max_df=0.4, threshold=0.02), "US": Config(top=80, min_df=3, max_df=0.35, threshold=0.02), "__default__": Config(top=40, max_df=0.35, threshold=0.02)}
 
 
 def grams(x: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
@@ -46,44 +49,67 @@ def counts(rows: DataFrame, id_col: str, sizes: tuple[int, ...]) -> DataFrame:
     return rows.select(id_col, "country", F.explode(grams(F.col("text"), sizes)).alias("gram")).groupBy("country", id_col, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit(pool_counts: DataFrame, pool: DataFrame, config: Config = Config()) -> DataFrame:
+Configs = Mapping[str, Config]
+
+
+def _by_country(configs: Config | Configs, field: str) -> Column:
+    """A setting as a column of the country; ``__default__`` where a country has none."""
+    if isinstance(configs, Config):
+        return F.lit(getattr(configs, field))
+    table = F.create_map(*[F.lit(x) for k, c in configs.items() if k != "__default__" for x in (k, getattr(c, field))]) if set(configs) - {"__default__"} else None
+    default = F.lit(getattr(configs["__default__"], field))
+    return default if table is None else F.coalesce(table[F.col("country")], default)
+
+
+def fit(pool_counts: DataFrame, pool: DataFrame, config: Config | Configs = Config()) -> DataFrame:
     """country, gram, idf: learned from the pool alone."""
     n = pool.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = pool_counts.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(n, "country")
-    kept = df.where((F.col("df") >= config.min_df) & (F.col("df") <= config.max_df * F.col("n")))
+    kept = df.where((F.col("df") >= _by_country(config, "min_df")) & (F.col("df") <= _by_country(config, "max_df") * F.col("n")))
     order = W.partitionBy("country").orderBy(F.col("total").desc(), "gram")
-    kept = kept.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= config.max_features)
+    kept = kept.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= _by_country(config, "max_features"))
     return kept.select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(some: DataFrame, id_col: str, model: DataFrame) -> DataFrame:
-    """country, id, gram, w: sublinear TF-IDF of unit length; unknown grams have gone before."""
-    raw = some.join(model, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("country", id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["country", id_col]).select("country", id_col, "gram", (F.col("w") / F.col("norm")).alias("w"))
-
+def vectors(some: DataFrame, id_col: str, model: DataFrame) -> DataFrame:
+    """shard (the country), id, v: sublinear TF-IDF by the gram's 64-bit hash; unknown grams have gone before."""
+    entry = F.struct(F.xxhash64("gram").alias("g"), ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    return some.join(model, ["country", "gram"]).groupBy(F.col("country").alias("shard"), id_col).agg(F.collect_list(entry).alias("v"))
 
-def top_pairs(q: DataFrame, p: DataFrame, top: int, threshold: float = 0.0) -> DataFrame:
-    """qid, tid, score, rank by inner product; scores rounded to 6 digits before ranking, ties by tid."""
-    joined = q.join(p.withColumnRenamed("w", "v"), ["country", "gram"])
-    scored = joined.groupBy("qid", "tid").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score")).where(F.col("score") > threshold)
-    order = W.partitionBy("qid").orderBy(F.col("score").desc(), "tid")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
+def channel(queries: DataFrame, pool: DataFrame, config: Config | Configs = Config()) -> DataFrame:
+    """The similarity search of two frames with country and text (and qid, tid): qid, tid, score, rank.
 
-def channel(queries: DataFrame, pool: DataFrame, config: Config = Config()) -> DataFrame:
-    """The similarity join of two frames with country and text (and qid, tid)."""
-    p = counts(pool, "tid", config.grams)
+    With settings by country, each country is a shard that is searched with its own, all in one plan.
+    """
+    sizes = config.grams if isinstance(config, Config) else config["__default__"].grams
+    p = counts(pool, "tid", sizes)
     model = fit(p, pool, config)
-    return top_pairs(weights(counts(queries, "qid", config.grams), "qid", model), weights(p, "tid", model), config.top, config.threshold)
+    top, least = (config.top, config.threshold) if isinstance(config, Config) else (_shard(config, "top"), _shard(config, "threshold"))
+    return products.sparse(vectors(counts(queries, "qid", sizes), "qid", model), vectors(p, "tid", model), top, least)
+
+
+def _shard(configs: Configs, field: str) -> Column:
+    own = {k: getattr(c, field) for k, c in configs.items() if k != "__default__"}
+    out = F.lit(getattr(configs["__default__"], field))
+    for k, x in own.items():
+        out = F.when(F.col("shard") == k, x).otherwise(out)
+    return out
 
 
-def second_pass(queries: DataFrame, pool: DataFrame, first: DataFrame, config: Config, low: float = 0.15, top: int = 60) -> DataFrame:
-    """Queries with a low best score or a short list search again; each pair keeps its larger score."""
+def weak(queries: DataFrame, first: DataFrame, top: int, low: float = 0.15, country: str | None = None) -> DataFrame:
+    """The queries with a low best score or a list below half of ``top``; with ``country``, of that one only."""
     best = first.groupBy("qid").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
-    weak = queries.join(best, "qid", "left").where(F.col("best").isNull() | (F.col("best") < low) | (F.col("n") < config.top / 2))
-    wide = Config(config.min_df, config.max_df, config.max_features, config.grams, top, 0.0)
-    again = channel(weak.select(*queries.columns), pool, wide)
-    both = first.select("qid", "tid", "score").unionByName(again.select("qid", "tid", "score")).groupBy("qid", "tid").agg(F.max("score").alias("score"))
-    order = W.partitionBy("qid").orderBy(F.col("score").desc(), "tid")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    found = queries.join(best, "qid", "left").where(F.col("best").isNull() | (F.col("best") < low) | (F.col("n") < top // 2))
+    return (found if country is None else found.where(F.col("country") == country)).select(*queries.columns)
+
+
+def second_pass(queries: DataFrame, pool: DataFrame, first: DataFrame, config: Config, low: float = 0.15, top: int = 60, country: str | None = None) -> DataFrame:
+    """Weak queries search again; each of their pairs keeps its larger score, the best ``top`` stay. Other lists stay as they are."""
+    asked = weak(queries, first, config.top, low, country)
+    wide = Config(config.min_df, config.max_df, config.max_features, config.grams, top, config.threshold)
+    again = channel(asked, pool, wide)
+    mine = first.join(asked.select("qid"), "qid", "left_semi")
+    both = mine.select("qid", "tid", "score").unionByName(again.select("qid", "tid", "score")).groupBy("qid", "tid").agg(F.max("score").alias("score"))
+    others = first.join(asked.select("qid"), "qid", "left_anti").select("qid", "tid", "score", "rank")
+    return products.ranked(both, top).unionByName(others)

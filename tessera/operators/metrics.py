@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def f05(n_true: Column, n_pred: Column, n_tp: Column) -> Column:
@@ -120,8 +120,6 @@ def recall_gates(counted: DataFrame) -> DataFrame:
 
 def hit_samples(truth: DataFrame, candidates: DataFrame, countries: DataFrame, n: int = 3) -> DataFrame:
     """country, hit, qid, tid: the first few retrieved and missed links of each country, for a report."""
-    from pyspark.sql import Window as W
-
     named = truth.join(candidates.select("qid", "tid").distinct().withColumn("_hit", F.lit(True)), ["qid", "tid"], "left").join(countries, "qid").withColumn("hit", F.coalesce("_hit", F.lit(False)))
     order = W.partitionBy("country", "hit").orderBy("qid", "tid")
     return named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("country", "hit", "qid", "tid")
@@ -158,3 +156,21 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, n: int = 1000, seed: int = 0, b
         sums += rng.multinomial(size, part["n"].to_numpy() / size, n) @ part["d"].to_numpy()
     low, high = np.percentile(sums / total, [2.5, 97.5])
     return {"delta": float((table["n"] * table["d"]).sum() / total), "low": float(low), "high": float(high)}
+
+
+def resampled(a: DataFrame, b: DataFrame, n: int = 200, seed: str = "bootstrap", by: str | None = None) -> DataFrame:
+    """delta, low, high: the same with every draw made from a hash, so that any engine draws alike.
+
+    A resample draws as many queries from each group as it has, with replacement: ``n`` rows a query. For
+    very many queries take :func:`paired_bootstrap`, whose work does not grow with them.
+    """
+    group = F.col(by) if by else F.lit("")
+    diffs = a.select("qid", group.alias("grp"), F.col("f05").alias("x")).join(b.select("qid", F.col("f05").alias("y")), "qid").select("qid", "grp", (F.col("y") - F.col("x")).alias("d"))
+    w = W.partitionBy("grp")
+    placed = diffs.withColumn("place", F.row_number().over(w.orderBy("qid")) - 1).withColumn("size", F.count(F.lit(1)).over(w))
+    draws = placed.select("grp", "size", "place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "grp", F.col("b").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = draws.select("grp", "b", (number % F.col("size")).cast("int").alias("place"))
+    means = drawn.join(placed.select("grp", "place", "d"), ["grp", "place"]).groupBy("b").agg(F.avg("d").alias("m"))
+    ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return diffs.agg(F.round(F.avg("d"), 9).alias("delta")).join(ends.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high")))

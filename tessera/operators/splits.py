@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# The seed that the splits are drawn with.
 SPLIT_SEED = "f05-v1"
 
 
@@ -67,9 +68,20 @@ def roles(ids: DataFrame, key: str, sizes: dict[str, int], by: str, seed: str =
     return out
 
 
-def overlaps(manifest: DataFrame, key: str) -> DataFrame:
-    """Ids that have more than one role."""
-    return manifest.groupBy(key).agg(F.countDistinct("role").alias("n_roles")).where(F.col("n_roles") > 1)
+def subset_role(manifest: DataFrame, key: str, role: str, of: str, sizes: int, by: str, seed: str = "roles") -> DataFrame:
+    """The manifest with one more role, drawn from the ids of another, which keep that one too."""
+    drawn = sample(manifest.where(F.col("role") == of), key, sizes, f"{seed}|{role}", [by])
+    return manifest.unionByName(drawn.select(key, by, F.lit(role).alias("role")))
+
+
+def outside_role(manifest: DataFrame, key: str, role: str, of: str) -> DataFrame:
+    """Ids of a role that should all have another, and do not."""
+    return manifest.where(F.col("role") == role).select(key).join(manifest.where(F.col("role") == of), key, "left_anti")
+
+
+def overlaps(manifest: DataFrame, key: str, subsets: Sequence[str] = ()) -> DataFrame:
+    """Ids that have more than one role, besides roles within others (``subsets``)."""
+    return manifest.where(~F.col("role").isin(*subsets) if subsets else F.lit(True)).groupBy(key).agg(F.countDistinct("role").alias("n_roles")).where(F.col("n_roles") > 1)
 
 
 def uncovered(required: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

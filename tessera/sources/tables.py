@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.operators.splits import exposed
@@ -84,3 +86,9 @@ def complete(spark: SparkSession, folder: str, names: tuple[str, ...]) -> list[s
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def revision(folder: str) -> dict[str, str | bool]:
+    """On the driver: the revision that a working folder is at, and whether it has changes."""
+    say = lambda *words: subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True, check=True).stdout.strip()
+    return {"commit": say("rev-parse", "HEAD"), "branch": say("rev-parse", "--abbrev-ref", "HEAD"), "changed": bool(say("status", "--porcelain"))}

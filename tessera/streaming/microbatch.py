@@ -10,7 +10,9 @@ from tessera.operators import blocking
 
 def link(stream: DataFrame, pool: DataFrame, out: str, checkpoint: str, top: int = 20, trigger: str | None = None) -> StreamingQuery:
     """Block each micro-batch of queries (qid, name, address, country); Parquet by batch, replayed batches overwrite theirs."""
-    index = blocking.index(blocking.keys(pool, "tid")).persist()
+    index = blocking.index(blocking.keys(pool, "tid"))
+    index.write.mode("overwrite").parquet(f"{checkpoint}-index")  # every batch reads it; it outlives lost executors
+    index = pool.sparkSession.read.schema(index.schema).parquet(f"{checkpoint}-index")
 
     def each(batch: DataFrame, number: int) -> None:
         blocking.search(blocking.keys(batch, "qid"), index, top).write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -1,13 +1,15 @@
 """Literal cases of the operators."""
 
 import json
+import random
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import features, fuzzy, text
-from tessera.operators import blocking, decision, dense, fusion, lexical, metrics, model, records, splits, validate
+from tessera.operators import blocking, decision, dense, fusion, lexical, metrics, model, products, records, splits, validate
 from tessera.sources import sinks, tables
 from tessera.streaming import microbatch
 
@@ -111,6 +113,130 @@ def test_normalisation(spark):
     assert one(spark, text.plain_ascii_view(F.col("s")), s="Société Ltd.") == "societe limited"
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("d / b / a", "dba"), ("head/b/adam", "head b adam"), ("smith d/b/a acme", "smith dba acme"), ("M / s. Foo", "foo"), ("a.b.c. inc", "abc inc"), ("x\u00a0y", "x y"), ("d/b/a", "dba")],
+)
+def test_primary_view(spark, raw, want):
+    assert one(spark, text.unicode_view(F.col("s")), s=raw) == want
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("acme private limited", "acme"), ("private limited", ""), ("acme limited liability company", "acme"), ("x societe responsabilite limitee", "x"), ("a liability company", "a liability"),
+        ("acme societe", "acme"), ("", ""), ("societe responsabilite", "societe responsabilite"), ("limited acme", "limited acme"), ("acme " + "limited company " * 10_000 + "gmbh", "acme"),
+    ],
+)
+def test_name_core(spark, name, want):
+    assert one(spark, text.name_core(F.col("s")), s=name) == want
+
+
+@pytest.mark.parametrize(
+    ("name", "unicode_empty", "latin_empty", "missing"), [("-", False, False, True), ("!!!", True, False, False), ("", False, False, True), ("नमस्ते", False, True, False), ("Café", False, False, False), ("\tNA ", False, False, True)]
+)
+def test_losses(spark, name, unicode_empty, latin_empty, missing):
+    r = one(spark, text.normalized(F.col("n"), F.col("a"), F.col("c")), n=name, a="x", c=" US")
+    assert (r["normalization_loss"]["unicode_empty"], r["normalization_loss"]["latin_empty"], r["field_missing"]["name_missing"]) == (unicode_empty, latin_empty, missing)
+    assert (r["country_raw"], r["country_key"]) == (" US", "US") and one(spark, text.country_key(F.col("s")), s="  ") == "__default__"
+
+
+def test_normalised_once(spark):
+    rows = spark.createDataFrame([("a", "Acme Ltd", "1 Rd", "India"), ("a", "Acme Ltd", "1 Rd", "India"), ("b", None, None, None)], "id string, name string, address string, country string")
+    got = {r["id"]: r["rec"] for r in text.normalized_once(rows, "id").collect()}
+    assert got["a"]["name"] == "acme limited" and got["a"]["address"] == "1 road" and got["b"]["name"] == "" and got["b"]["field_missing"]["name_missing"]
+
+
+def brute_top(q, p, top, least):
+    out = []
+    for i, a in q.items():
+        norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+        scores = sorted(((-round(sum(w * b.get(g, 0) for g, w in a.items()) / norm(a) / norm(b), 6), j) for j, b in p.items()))
+        out += [(i, j, -s, n) for n, (s, j) in enumerate([x for x in scores if -x[0] > least][:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("pool_block", "query_block", "step"), [(1000, 1000, 1 << 22), (7, 5, 40)])
+def test_sparse_products(spark, monkeypatch, pool_block, query_block, step):
+    monkeypatch.setattr(products, "STEP", step)
+    rng = random.Random(2)
+    make = lambda n, c: {f"{c}{i:02}": {rng.randint(0, 30): float(rng.randint(1, 3)) for _ in range(rng.randint(1, 6))} for i in range(n)}
+    q, p = make(23, "q"), make(40, "t")
+    frame = lambda d, key: spark.createDataFrame([("s", i, [(g, w) for g, w in v.items()]) for i, v in d.items()], f"shard string, {key} string, v array<struct<g: long, w: double>>")
+    got = products.sparse(frame(q, "qid"), frame(p, "tid"), 4, 0.1, pool_block, query_block)
+    assert sorted((r["qid"], r["tid"], r["score"], r["rank"]) for r in got.collect()) == brute_top(q, p, 4, 0.1)
+    assert products.sparse(frame(q, "qid"), frame(p, "tid").limit(0), 4).count() == 0
+
+
+def test_dense_ties_and_passes(spark):
+    rng = random.Random(4)
+    v = lambda: [float(rng.choice([-1, 0, 1])) for _ in range(3)]
+    q, p = {f"q{i}": v() for i in range(9)}, {f"t{i:04}": v() for i in range(3000)}
+    frame = lambda d, key: spark.createDataFrame(list(d.items()), f"{key} string, v array<double>").repartition(3)
+    got = sorted((r["qid"], r["tid"], r["rank"]) for r in products.dense(frame(q, "qid"), frame(p, "tid"), 5, query_block=4).collect())
+    unit = lambda x: [a / (sum(b * b for b in x) ** 0.5 or 1) for a in x]
+    want = []
+    for i, a in q.items():
+        best = sorted((-round(sum(x * y for x, y in zip(unit(a), unit(b), strict=True)), 6), j) for j, b in p.items())[:5]
+        want += [(i, j, n) for n, (_, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_model_stops_early_and_comes_back(spark, tmp_path):
+    rows = spark.range(600).select(F.concat(F.lit("q"), F.col("id") % 60).alias("qid"), F.col("id").cast("string").alias("tid"), (F.col("id") % 3).alias("fold").cast("int"), F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("is_match", (F.col("a") > 0.5).cast("double"))
+    settings_ = {"maxDepth": 2, "stepSize": 0.5}
+    out, gains, trees = model.out_of_fold(rows, ["a", "b"], rounds=30, settings=settings_)
+    assert out.count() == 600 == out.select("qid", "tid").distinct().count() and gains["a"] > gains["b"] and max(trees) < 30
+    assert out.where((F.col("p") > 0.5) != (F.col("is_match") == 1)).count() < 15 and model.top_gains(gains, 1)[0][0] == "a"
+    made = model.refit(rows, ["a", "b"], trees, settings=settings_)
+    assert made.getNumTrees == round(sum(trees) / 3)
+    model.save(made, ["a", "b"], str(tmp_path / "m"), trees=trees)
+    again, names, notes = model.load(str(tmp_path / "m"), ["a", "b"])
+    assert notes["trees"] == trees and model.predict(again, rows, names).select("p").collect() == model.predict(made, rows, names).select("p").collect()
+    with pytest.raises(ValueError):
+        model.load(str(tmp_path / "m"), ["b", "a"])
+    with pytest.raises(ValueError):
+        model.predict(made, rows, ["a"])
+
+
+def test_backfill_with_its_own_ratio(spark):
+    schema = "string, name string, address string, country string, text string"
+    q = spark.createDataFrame([("Q1", "acme shop", "12 long road", "US", "acme shop 12 long road"), ("Q2", "zeta", "5 x", "US", "zeta 5 x")], f"qid {schema}")
+    p = spark.createDataFrame([("T1", "akme shop", "9 short road", "US", "akme shop 9 short road"), ("T2", "other name", "3 x 12", "US", "acme shop 12 long roads"), ("T3", "acme shop", "12 long road", "France", "acme shop 12 long road"), ("T4", "zeta", "5 x", "US", "zeta 5 x")], f"tid {schema}")
+    found = spark.createDataFrame([("Q2", "T4", 0.9, 1), ("Q1", "T4", 0.05, 1)], "qid string, tid string, score double, rank int")
+    weak = lexical.weak(q, found, 2)
+    assert [r["qid"] for r in weak.collect()] == ["Q1"]
+    got = sorted((r["qid"], r["tid"], r["rank"]) for r in blocking.backfill(q, p, found, weak).collect())
+    assert got == [("Q1", "T1", 2), ("Q1", "T2", 1), ("Q1", "T4", 3), ("Q2", "T4", 1)]  # another country, and a sure query, stay out
+
+
+def test_candidates_are_blind_to_labels(spark, sf):
+    """What is generated depends on texts alone, covers every query, and its digest does not move."""
+    recs = records.records(spark, sf)
+    asked, pool = records.queries(recs), records.pool(recs)
+    make = lambda q, p: fusion.generate(q.select("qid"), p, fusion.retrieve(q, p), blocking.duplicates(p))
+    found, channels = make(asked, pool)
+    again, _ = make(asked.repartition(3), pool.repartition(5))
+    digest = lambda x: sorted(map(tuple, fusion.set_hash(x.where("tid is not null")).collect()))
+    assert digest(found) == digest(again) and found.select("qid").distinct().count() == asked.count()
+    assert found.groupBy("qid").count().agg(F.max("count")).collect()[0][0] <= 100 and channels.columns[:4] == ["qid", "tid", "joint_score", "joint_rank"]
+    siblings = blocking.duplicates(pool).select("tid", F.explode("siblings").alias("sibling"))
+    stray = found.where("tid is not null").select("qid", "tid").join(channels, ["qid", "tid"], "left_anti")
+    assert stray.join(siblings, "tid").count() >= stray.count()
+
+
+def test_written_outputs(spark, tmp_path):
+    scored = spark.createDataFrame([("b", "y", 0.5), ("a", "x", 0.25)], "qid string, tid string, p double")
+    sinks.write_predictions(scored, str(tmp_path / "p"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).collect())) == [("a", "x", 0.25), ("b", "y", 0.5)]
+    with pytest.raises(ValueError):
+        sinks.write_scores(scored.unionByName(scored), str(tmp_path / "s"))
+    assert "The first 1 rows." in sinks.report("t", scored, 1) and "first" not in sinks.report("t", scored, 2)
+    assert sinks.report_json("t", scored, 1)["complete"] is False
+    here = tables.revision(str(Path(__file__).resolve().parents[1]))
+    assert len(here["commit"]) == 40 and here["changed"] in (True, False)
+
+
 @pytest.mark.parametrize(("word", "want"), [("Tymczak", "T520"), ("Pfister", "P123"), ("12ab", "A100"), ("", "")])
 def test_soundex(spark, word, want):
     assert one(spark, text.soundex(F.col("s")), s=word) == want
