@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share; that is set here only where it is unset, on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-tables-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)

@@ -250,6 +250,18 @@ def brute_ratio(a, b):
     return 2 * table[-1][-1] / (len(a) + len(b)) if a or b else 1.0
 
 
+def brute_partial(a, b):
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 0.0 if b else 1.0
+    return max(brute_ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
+
+@given(st.text("abcx ", max_size=9), st.text("abcy ", max_size=14))
+def test_partial_ratio(a, b):
+    assert fuzzy.partial_ratio(a, b) == pytest.approx(brute_partial(a, b))
+
+
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
 def test_ratios(a, b):
     assert fuzzy.ratio(a, b) == pytest.approx(brute_ratio(a, b))
