@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Set here only where unset, on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)

@@ -19,7 +19,8 @@ The benchmark goes through in blocks of ``ITEM_BLOCK`` items, so what a task hol
 
 Defined cases: null texts are empty and match nothing; items without words are never found; an
 item of one word is found wherever that word is; an item that occurs twice in a document is one row, with its best place; repeated rows of the benchmark are
-one item, repeated documents have their own rows; empty tables give no rows; other columns are not
+one item, repeated documents have their own rows; a null item id is an id like others; very long texts are cut in blocks like
+all; empty tables give no rows; other columns are not
 read.
 """
 
@@ -357,7 +358,7 @@ def _best_of_neighbours(place: np.ndarray, which: np.ndarray, cosine: np.ndarray
     return place[best], which[best], cosine[best]
 
 
-def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(items: Items, idf: np.ndarray, space: np.ndarray, whole_ids: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     table = (space * idf[:, None]).astype(np.float32)
     wanted = _unit(np.stack([table[x].sum(axis=0) for x in items.lists])).astype(np.float32)
     masks: list[dict[int, int]] = []
@@ -425,7 +426,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
             keys = sorted(found)
             values = [found[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), part.column("text_hash").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([items.ids[k[1]] for k in keys], part_type(items)),
+                [part.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), part.column("text_hash").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([items.ids[k[1]] for k in keys], pa.int64() if whole_ids else pa.string()),
                  *(pa.array([x[i] for x in values], pa.float64()) for i in range(3)), *(pa.array([x[i] for x in values], pa.int64()) for i in (3, 4))],
                 names=["doc_id", "text_hash", "item_id", "lcs", "answer", "cosine", "first_word", "end_word"],
             )
@@ -433,10 +434,6 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray) -> Callable[[Itera
     return run
 
 
-def part_type(items: Items) -> pa.DataType:
-    return pa.int64() if all(isinstance(x, int) for x in items.ids) else pa.string()
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each leaked item of a document: doc_id, text_hash, item_id, lcs, answer, cosine, first_word, end_word."""
     spark = docs.sparkSession
@@ -451,7 +448,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     found: list[str] = []
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64(F.lit(13), "item_id", "text"), F.lit(blocks)) == b)
-        items = read_items(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x)))
+        items = read_items(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, repr(x))))
         if not items.ids:
             continue
         words_ = scratch.put(rows.mapInArrow(_number(items.vocabulary), numbered), f"words-{b}")
@@ -459,7 +456,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         seen = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], float)
         idf = np.log((1 + counts.get(-1, 0)) / (1 + seen)) + LEAST_IDF
         space = latent(words_.select("numbers"), items, idf, scratch)
-        scratch.put(words_.mapInArrow(_search(items, idf, space), shape), f"found-{b}")
+        scratch.put(words_.mapInArrow(_search(items, idf, space, kinds["item_id"] == "bigint"), shape), f"found-{b}")
         scratch.drop(f"words-{b}")
         found.append(f"{scratch.path}/found-{b}")
     return spark.read.schema(shape).parquet(*found) if found else spark.createDataFrame([], shape)

@@ -117,6 +117,76 @@ def chat_text(x):
     return re.sub(r"(?s)\\(.)", r"\1", x)
 
 
+LONG = " ".join(f"word{i % 5000}" for i in range(150_000))  # about 1.3 MB
+CASES = [(1, "the cat and the dog are here"), (1, "the cat and the dog are here"), (2, None), (3, ""), (4, " \t\n"), (5, "12 34 !?"), (6, LONG), (None, "the dog"), (7, "Ünï çødé ß 漢字 \U0001f600")]
+
+
+def clashing(frame):
+    """With columns named like those that the operators make."""
+    for name in ("key", "fp", "_row", "text_hash", "size", "score", "held_out", "skey", "order", "shard", "_id", "toxic", "numbers", "bucket"):
+        frame = frame.withColumn(name, F.lit("x"))
+    return frame
+
+
+def test_language_of_odd_rows(spark, docs):
+    train = docs([(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("no language", None), (None, "en")] * 3)])
+    model = langid.learn(train)
+    got = {(r["doc_id"], (r["lang_pred"], r["score"])) for r in langid.identify(clashing(docs(CASES)), model).collect()}
+    assert {d: x for d, x in got if d in (2, 3, 4, 5)} == {d: ("und", 0.0) for d in (2, 3, 4, 5)} and len([1 for d, _ in got if d == 1]) == 1
+    assert dict(got)[1][0] == "en" and dict(got)[None][0] == "en" and dict(got)[6][0] in ("en", "de") and all(0 <= s <= 1 for _, (_, s) in got)
+    assert {r["lang_pred"] for r in langid.identify(docs(CASES), ([], model[1])).collect()} == {"und"}
+    tie = langid.learn(docs([(0, "aaa bbb", "y"), (1, "aaa bbb", "x")]))
+    assert langid.identify(docs([(9, "aaa bbb")]), tie).collect()[0]["lang_pred"] == "x"  # equal proportions: code-point order
+
+
+def test_mix_of_odd_rows(spark, docs):
+    rows = [(d, t, None, s) for (d, t), s in zip(CASES, ["a", "a", "a", None, "b", "b", "é", "é", None], strict=True)]
+    out = mixing.mix(clashing(docs(rows)).drop("size", "order", "skey", "shard")).collect()
+    sizes = sorted((repr(r["doc_id"]), r["size"]) for r in out)
+    assert sizes == sorted((repr(d), len(SPACE.sub(" ", t or "").split())) for d, t in CASES)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in out) and mixing.mix(docs(rows).limit(0)).count() == 0
+    total = sum(n for _, n in sizes)
+    by = defaultdict(int)
+    for r in out:
+        by[r["source"]] += r["taken"]
+    assert sum(by.values()) == pytest.approx(1.5 * total, rel=0.02)
+    again = mixing.mix(docs(rows).repartition(5)).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, map(tuple, out)))
+
+
+def test_toxicity_of_odd_rows(spark, docs):
+    train = [(100 + i, f"you are a stupid zorgon number {i}" if i % 4 == 0 else f"a kind word about the weather {i}") for i in range(240)]
+    labels = spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(240)] + [(100, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs(train + train[:1] * 50), labels)
+    got = {r["doc_id"]: r for r in toxicity.score(clashing(docs(CASES + [(8, "such a stupid zorgon"), (9, LONG + " stupid zorgon")])), model).collect()}
+    assert got[8]["predicted"] == 1 and all(got[d]["predicted"] == 0 for d in (1, 2, 3, 4, 5, 6, 7, None))
+    assert got[2]["score"] == got[3]["score"] == got[4]["score"] and 0 <= got[2]["score"] < 0.3
+    assert toxicity.reject(clashing(docs(CASES)), model).count() == len(CASES)
+
+
+def test_leaks_of_odd_rows(spark, docs):
+    bench = spark.createDataFrame([(1, "word7 word8 word9 word10 word11 word12"), (1, "word7 word8 word9 word10 word11 word12"), (2, None), (3, ""), (4, "?!"), (None, "the cat and the dog are here")], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.leaks(clashing(docs(CASES)), bench).collect()]
+    assert sorted(got, key=repr) == sorted([(1, None), (1, None), (6, 1)], key=repr)  # repeated documents have their own rows
+    left = decontam.clean(clashing(docs(CASES)), bench)
+    assert sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted([2, 3, 4, 5, None, 7], key=repr)
+    assert decontam.leaks(docs(CASES).limit(0), bench).count() == decontam.leaks(docs(CASES), bench.limit(0)).count() == 0
+
+
+def test_pages_of_odd_rows(spark):
+    story = " ".join(f"word{i}" for i in range(40_000))
+    pages = [(1, "http://a/1", f"<article><p>{story}</p></article>"), (2, None, "<p>a&amp;b"), (2, None, "<p>a&amp;b"), (None, "", None), (3, "http://a/2", "<article>same</article><article>same</article>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("paths", F.lit("y")).withColumn("text", F.lit("z"))
+    got = sorted(((r["page_id"], r["url"], r["text"]) for r in html.extract_pages(frame).collect()), key=repr)
+    assert got == sorted([(1, "http://a/1", story), (2, None, "a&b"), (2, None, "a&b"), (None, "", ""), (3, "http://a/2", "same\nsame")], key=repr)
+
+
+def test_near_copies_of_odd_rows(spark, docs):
+    kept = simhash.deduplicate(clashing(docs(CASES + [(8, LONG + " end"), (0, "THE cat and the dog are here")]))).collect()
+    # empty and wordless texts are one group, texts without a twin stay
+    assert sorted((r["doc_id"] for r in kept), key=repr) == sorted([0, 2, 5, 6, None, 7], key=repr)
+
+
 # --- single operators ---------------------------------------------------------------------------
 
 
