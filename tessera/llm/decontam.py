@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm import common
 
 ITEM_BLOCK = 4096
-#: Slices of words that partial sums are added in; bytes of word numbers whose blocks a kernel works on at once.
-SLICES, SLAB = 16, 32 << 10
+#: Slices of words that partial sums are added in; bytes of word numbers that the search, and a product, work on at once.
+SLICES, SLAB, PRODUCT_SLAB = 16, 64 << 10, 256 << 10
 BLOCK, RANK, OVERSAMPLE, ROUNDS = 24, 64, 16, 1
 #: The rank is RANK, and grows to one for so many items of a block.
 RANK_ITEMS = 16
@@ -175,7 +175,7 @@ def _gram_product(vocabulary: dict[str, int], idf: np.ndarray, q: np.ndarray):
         kind = _kind(vocabulary)
         total, table, light = np.zeros(q.T.shape), np.ascontiguousarray((q * idf[:, None]).T, np.float32), idf.astype(np.float32)
         for batch in batches:
-            for part in common.chunks(batch, "numbers", SLAB):
+            for part in common.chunks(batch, "numbers", PRODUCT_SLAB):
                 number, block, first, _ = _blocks(part.column("numbers"), _kind(vocabulary))
                 known = number >= 0
                 number, block = number[known], block[known]
