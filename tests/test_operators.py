@@ -168,6 +168,28 @@ def test_sparse_products(spark, monkeypatch, pool_block, query_block, step):
     assert products.sparse(frame(q, "qid"), frame(p, "tid").limit(0), 4).count() == 0
 
 
+def test_texts_are_searched_once(spark, monkeypatch):
+    """Equal texts share a search, and a query still gets the records that a search of every record gives."""
+    rng = random.Random(5)
+    texts = ["red bolt", "red ring", "blue bolt", "blue ring", "old plate"]
+    make = lambda n, c: [(f"{c}{i:03}", rng.choice("XY"), rng.choice(texts)) for i in range(n)]
+    q, p = make(60, "q"), [*make(200, "t"), ("t900", "X", "red"), ("t900", "X", "bolt"), ("t901", "Y", None)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} string, country string, text string")
+    searched, sparse = [], products.sparse
+    monkeypatch.setattr(products, "sparse", lambda a, b, *more: searched.append((a.count(), b.count())) or sparse(a, b, *more))
+    config = lexical.Config(min_df=1, max_df=1.0, top=7, threshold=0.1)
+    got = sorted(map(tuple, lexical.channel(frame(q, "qid"), frame(p, "tid"), config).collect()))
+
+    asked, pool = (lexical.counts(frame(x, k), k, config.grams).withColumn("copies", F.lit(1)) for x, k in ((q, "qid"), (p, "tid")))
+    model = lexical.fit(pool, frame(p, "tid"), config)
+    bag = lambda rows, key: {(r["shard"], r[key]): {e["g"]: e["w"] for e in r["v"]} for r in lexical.vectors(rows, key, model).collect()}
+    a, b, want = bag(asked, "qid"), bag(pool, "tid"), []
+    for c in "XY":
+        want += brute_top({k: v for (s, k), v in a.items() if s == c}, {k: v for (s, k), v in b.items() if s == c}, 7, 0.1)
+    assert got == sorted(want)
+    assert searched == [(len({x[1:] for x in q}), len({x[1:] for x in p[:200]}) + 1)]
+
+
 def test_dense_ties_and_passes(spark):
     rng = random.Random(4)
     v = lambda: [float(rng.choice([-1, 0, 1])) for _ in range(3)]
