@@ -190,6 +190,22 @@ def test_texts_are_searched_once(spark, monkeypatch):
     assert searched == [(len({x[1:] for x in q}), len({x[1:] for x in p[:200]}) + 1)]
 
 
+def test_records_written_alike_are_searched_once(spark, monkeypatch):
+    """One record of a kind is joined on keys, and each query still gets what a search of every record gives."""
+    rng = random.Random(6)
+    kinds = [(n, f"{i} {a} st") for n in ("red bolt", "red ring", "blue bolt", "tin") for i in (1, 4012) for a in ("small", "economy")] + [("red bolt", ""), (None, "1 small st"), ("red ring", None)]
+    make = lambda n, c: [(f"{c}{i:03}", *rng.choice(kinds), rng.choice("XY")) for i in range(n)]
+    q, p = make(90, "q"), [*make(300, "t"), ("t900", "red bolt", "1 small st", "X"), ("t900", "blue bolt", "", "X"), ("t901", "tin", "4012 economy st", "Y"), ("t901", "tin", "4012 economy st", "Y")]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} string, name string, address string, country string")
+    asked, pool = frame([*q, ("q900", "tin", "1 small st", "X"), ("q900", "tin", "4012 small st", "Y")], "qid"), frame(p, "tid")
+    search, joined = blocking.search, []
+    want = {n: sorted(map(tuple, search(blocking.keys(asked, "qid"), blocking.index(blocking.keys(pool, "tid")), n).collect())) for n in (1, 3, 40)}
+    monkeypatch.setattr(blocking, "search", lambda a, b, top: joined.append((a.select("qid").distinct().count(), b.select("tid").distinct().count())) or search(a, b, top))
+    for n, rows in want.items():
+        assert sorted(map(tuple, blocking.structured(asked, pool, n).collect())) == rows
+    assert all(a <= 2 * len(kinds) + 1 and b <= 2 * len(kinds) + 2 for a, b in joined)
+
+
 def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
