@@ -65,6 +65,30 @@ def test_duplicates_enter_at_a_discount(spark):
     assert [(r["tid"], round(r["rrf"], 9)) for r in got] == [("T1", 0.03), ("T1_clone", 0.0297)]
 
 
+def test_duplicates_of_many_parents_enter_once(spark):
+    """A class is taken in once a query, ids may repeat or be in two classes, and a bound on the list is a cut of the whole list."""
+    rng = random.Random(7)
+    pool = [(f"T{i:02}", rng.choice("abc"), rng.choice("xy")) for i in range(40)] + [("T03", "a", "x"), ("T03", "b", "y"), ("T05", "c", "x"), ("T99", " ", "x")]
+    siblings = blocking.duplicates(spark.createDataFrame(pool, "tid string, name string, address string"))
+    lists = {q: rng.sample([f"T{i:02}" for i in range(40)] + ["T99"], n) for q, n in (("Q1", 1), ("Q2", 6), ("Q3", 30))}
+    ranking = spark.createDataFrame([(q, t, 1 / (60 + i), i) for q, ts in lists.items() for i, t in enumerate(ts, 1)], "qid string, tid string, rrf double, rrf_rank int")
+    want = []
+    for q, ts in lists.items():
+        own = {t: 1 / (60 + i) for i, t in enumerate(ts, 1)}
+        more = {}
+        for r in siblings.collect():
+            for s in r["siblings"] if r["tid"] in own else ():
+                more[s] = max(more.get(s, 0.0), own[r["tid"]])
+        own |= {s: round(0.99 * x, 12) for s, x in more.items() if s not in own}
+        want += [(q, t, round(x, 12), i) for i, (t, x) in enumerate(sorted(own.items(), key=lambda y: (-y[1], y[0])), 1)]
+    plain = lambda df: sorted((r["qid"], r["tid"], round(r["rrf"], 12), r["rrf_rank"]) for r in df.collect())
+    assert plain(fusion.expand_duplicates(ranking, siblings)) == sorted(want)
+    for n in (1, 4, 12):
+        assert plain(fusion.expand_duplicates(ranking, siblings, top=n)) == sorted(r for r in want if r[3] <= n)
+    taken = fusion._with_duplicates(ranking, siblings).groupBy("qid").count().collect()
+    assert all(r["count"] <= len(pool) for r in taken)
+
+
 def test_policy(spark):
     scored = spark.createDataFrame([("a", "x", 0.9, "US"), ("a", "y", 0.65, "US"), ("b", "z", 0.65, "India"), ("c", "w", 0.62, "US")], "qid string, tid string, p double, country string")
     policy = spark.createDataFrame([("global", 0.70, 0.67), ("US", 0.60, 0.60)], "grp string, ts double, tm double")
