@@ -6,8 +6,9 @@ from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
+from tessera import session
 from tessera.functions import features, fuzzy, text
 from tessera.operators import blocking, decision, dense, fusion, lexical, metrics, model, products, records, splits, validate
 from tessera.sources import sinks, tables
@@ -315,6 +316,19 @@ def test_candidates_are_blind_to_labels(spark, sf):
     assert stray.join(siblings, "tid").count() >= stray.count()
 
 
+def test_channels_are_written_one_by_one(spark, monkeypatch):
+    """No plan holds the searches of two channels, and what is written is what one plan of all gives."""
+    made, real = [], session.written
+    monkeypatch.setattr(session, "written", lambda df: made.append(planned(df)) or real(df))
+    channels = {c: hits(spark).where(F.col("channel") == c).drop("channel").withColumn("score", F.max("score").over(W.partitionBy("qid", "tid"))) for c in ("joint", "name_only")}
+    pool = frame(spark, [("T1", "a", "x"), ("T9", "a", "x"), ("T2", "b", "y")], "tid string, name string, address string")
+    found, looked = fusion.generate(frame(spark, [("Q1",), ("Q3",)], "qid string"), pool, channels, blocking.duplicates(pool))
+    assert sum("Window" in x and "Scan ExistingRDD" in x for x in made) == 2 and not any(x.count("Scan ExistingRDD") > 1 for x in made)
+    want = fusion.lookups(fusion.stack(channels), channels)
+    assert sorted(map(str, looked.collect())) == sorted(map(str, want.collect()))
+    assert [(r["qid"], r["tid"]) for r in found.orderBy("qid", "rrf_rank").collect()] == [("Q1", "T2"), ("Q1", "T1"), ("Q1", "T9"), ("Q1", "T4"), ("Q3", None)]
+
+
 def test_written_outputs(spark, tmp_path):
     scored = spark.createDataFrame([("b", "y", 0.5), ("a", "x", 0.25)], "qid string, tid string, p double")
     sinks.write_predictions(scored, str(tmp_path / "p"))
