@@ -11,6 +11,7 @@ from pyspark.sql import Window as W, functions as F
 from tessera import session
 from tessera.functions import features, fuzzy, text
 from tessera.operators import blocking, decision, dense, fusion, lexical, metrics, model, products, records, splits, validate
+from tessera.plans import catalog
 from tessera.sources import sinks, tables
 from tessera.streaming import microbatch
 
@@ -329,6 +330,19 @@ def test_channels_are_written_one_by_one(spark, monkeypatch):
     assert [(r["qid"], r["tid"]) for r in found.orderBy("qid", "rrf_rank").collect()] == [("Q1", "T2"), ("Q1", "T1"), ("Q1", "T9"), ("Q1", "T4"), ("Q3", None)]
 
 
+def test_matcher_rows_read_written_views(spark, sf):
+    """Records are normalised in plans of their own, candidates are settled before the features."""
+    d = catalog.Data(spark, sf)
+    pair = d.queries.limit(1).crossJoin(d.pool.select("tid").limit(1)).select("qid", "tid")
+    found = pair.select("qid", "tid", F.lit(0.5).alias("rrf"), F.lit(1).alias("rrf_rank"))
+    channels = pair.select("qid", "tid", *[F.lit(0.25).alias(f"{c}_score") for c in fusion.CHANNEL_WEIGHTS])
+    d.candidates = lambda: (found, channels)
+    rows = catalog.matcher_rows(d)
+    assert "regexp_replace" not in planned(rows) and "CartesianProduct" not in planned(rows)
+    got = rows.collect()
+    assert [(r["n_channels"], r["tfidf_max"], r["rrf_best"]) for r in got] == [(4.0, 0.25, 0.5)]
+
+
 def test_written_outputs(spark, tmp_path):
     scored = spark.createDataFrame([("b", "y", 0.5), ("a", "x", 0.25)], "qid string, tid string, p double")
     sinks.write_predictions(scored, str(tmp_path / "p"))
