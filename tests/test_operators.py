@@ -317,6 +317,20 @@ def test_candidates_are_blind_to_labels(spark, sf):
     assert stray.join(siblings, "tid").count() >= stray.count()
 
 
+def test_duplicates_are_counted_by_class(spark, monkeypatch):
+    """The sizes are those of the unions, also where ids repeat or are in two classes; only what such ids touch is listed."""
+    rng = random.Random(9)
+    pool = [(f"T{i:02}", rng.choice("abc"), rng.choice("xy")) for i in range(40)] + [("T03", "a", "x"), ("T03", "b", "y"), ("T05", "c", "x"), ("T99", " ", "x")]
+    make = lambda n: frame(spark, [(q, t) for q in ("Q1", "Q2", "Q3") for t in rng.sample([f"T{i:02}" for i in range(40)] + ["T99"], n)])
+    channels = {"a": make(2), "b": make(5)}
+    for rows in (pool, pool[:40], [("T99", " ", "x")]):
+        siblings = blocking.duplicates(spark.createDataFrame(rows, "tid string, name string, address string"))
+        want = fusion.cumulative_unions(channels, siblings).groupBy("step", "channel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("qid").alias("n_queries"))
+        assert sorted(map(tuple, fusion.cumulative_sizes(channels, siblings).collect())) == sorted(map(tuple, want.collect()))
+    none = {"a": channels["a"].limit(0)}
+    assert fusion.cumulative_sizes(none, siblings).collect() == []
+
+
 def test_channels_are_written_one_by_one(spark, monkeypatch):
     """No plan holds the searches of two channels, and what is written is what one plan of all gives."""
     made, real = [], session.written
