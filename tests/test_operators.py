@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -331,6 +332,25 @@ def test_duplicates_are_counted_by_class(spark, monkeypatch):
     assert fusion.cumulative_sizes(none, siblings).collect() == []
 
 
+def test_ranks_of_duplicates_take_one_shuffle(spark):
+    """What a list holds is found and ranked where its query was dealt to."""
+    ranking = spark.createDataFrame([("Q1", "T1", 0.5, 1)], "qid string, tid string, rrf double, rrf_rank int")
+    siblings = spark.createDataFrame([("T1", ["T2"])], "tid string, siblings array<string>")
+    plan = planned(fusion.expand_duplicates(ranking, siblings))
+    assert "LeftAnti" not in plan and plan.partition("Union")[0].count("Exchange hashpartitioning(qid") == 1
+
+
+def test_written_tables_free_their_shuffles(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = files()
+    rows = session.written(spark.range(100).withColumn("g", F.col("id") % 3).groupBy("g").count())
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and rows.count() == 3
+
+
 def test_channels_are_written_one_by_one(spark, monkeypatch):
     """No plan holds the searches of two channels, and what is written is what one plan of all gives."""
     made, real = [], session.written
