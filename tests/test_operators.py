@@ -364,6 +364,13 @@ def test_channels_are_written_one_by_one(spark, monkeypatch):
     assert [(r["qid"], r["tid"]) for r in found.orderBy("qid", "rrf_rank").collect()] == [("Q1", "T2"), ("Q1", "T1"), ("Q1", "T9"), ("Q1", "T4"), ("Q3", None)]
 
 
+def test_pair_features_read_written_hits_and_views(spark, sf):
+    d = catalog.Data(spark, sf)
+    d.hits = lambda made=d.hits(): made
+    assert "Window" not in planned(d.hits()) and "Join" not in planned(d.hits())
+    assert "regexp_replace" not in planned(catalog._pair_features(d))
+
+
 def test_matcher_rows_read_written_views(spark, sf):
     """Records are normalised in plans of their own, candidates are settled before the features."""
     d = catalog.Data(spark, sf)
