@@ -1,6 +1,7 @@
 """Literal cases of the operators."""
 
 import json
+import os
 import random
 import time
 from pathlib import Path
@@ -351,6 +352,22 @@ def test_written_tables_free_their_shuffles(spark):
     assert files() <= before and rows.count() == 3
 
 
+def test_written_tables_start_no_process_for_a_folder(spark, tmp_path):
+    """Folders have this process's mask and not the one that Hadoop sets by a process of its own; there is no mark of success."""
+    mask = os.umask(0o027)
+    try:
+        session.write(spark.range(5), f"file://{tmp_path}/a/t")
+        rows = session.written(spark.range(3))
+    finally:
+        os.umask(mask)
+    assert (tmp_path / "a/t").stat().st_mode & 0o777 == 0o750 and {x.name[:5] for x in (tmp_path / "a/t").iterdir() if x.suffix != ".crc"} == {"part-"}
+    folder = Path(rows.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert folder.stat().st_mode & 0o777 == 0o750 and not (folder / "_SUCCESS").exists()
+    assert rows.count() == 3 and spark.read.parquet(f"{tmp_path}/a/t").count() == 5
+    with pytest.raises(FileExistsError):
+        session.write(spark.range(5), f"{tmp_path}/a/t")
+
+
 def test_channels_are_written_one_by_one(spark, monkeypatch):
     """No plan holds the searches of two channels, and what is written is what one plan of all gives."""
     made, real = [], session.written
