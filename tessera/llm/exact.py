@@ -40,6 +40,8 @@ PREFIX_BITS, MOST_BUCKETS = 16, 1 << 20
 BUCKET_BYTES, BUCKETS_A_PARTITION, LEAST_BUCKET = 8 << 20, 4, 32 << 10
 #: Bytes of texts known to repeat that a task holds back, to send them once.
 HELD_BYTES = 32 << 20
+#: Bytes of text whose rows a task writes, where there are more tasks than cores: each file costs an executor processes of its own.
+FILE_BYTES = 32 << 20
 
 
 def normalised(text: str) -> bytes:
@@ -174,19 +176,23 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out([(key, j, x) for j, x in enumerate(chain)], last)
 
 
-def build_index(docs: DataFrame, scratch: common.Scratch, doc: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The index: id, text, row (a struct: whether the text was null, then the columns in ``carry`` as c0, c1, ..), key, chain, group_size, n_points, text_sha256."""
+def build_index(docs: DataFrame, scratch: common.Scratch, doc: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, int]:
+    """The index: id, text, row (a struct: whether the text was null, then the columns in ``carry`` as c0, c1, ..), key, chain, group_size, n_points, text_sha256.
+
+    Also the number of tasks that tables of these documents are written by, at most.
+    """
     spark = docs.sparkSession
     plain = docs.select(common.as_text(text).alias("text"))
     sizes = plain.mapInArrow(common.small(_profile), "prefix int, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes")).collect()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     total = sum(r["bytes"] for r in sizes)
+    files = max(spark.sparkContext.defaultParallelism, math.ceil(total / FILE_BYTES))
     capacity = max(LEAST_BUCKET, min(BUCKET_BYTES, total // (BUCKETS_A_PARTITION * parts)), total // MOST_BUCKETS)
     _, buckets = directory({r["prefix"]: r["bytes"] for r in sizes}, capacity)
     bounds = np.array([p << (64 - d) if d else 0 for p, d in buckets], np.uint64)
     rows = docs.select(F.col(doc).alias("id"), common.as_text(text).alias("text"), F.struct(F.col(text).isNull().alias("was_null"), *[common.column(c).alias(f"c{i}") for i, c in enumerate(carry or [])]).alias("row"))
     entries = rows.mapInArrow(_combine(bounds), common.extended(rows, "bucket int, key long, n long")).repartition("bucket").sortWithinPartitions("key")
-    return scratch.put(entries.mapInArrow(_chain, common.extended(rows, "key long, chain int, group_size long, n_points long, text_sha256 string")), "index")
+    return scratch.put(entries.mapInArrow(_chain, common.extended(rows, "key long, chain int, group_size long, n_points long, text_sha256 string")).coalesce(files), "index"), files
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +208,22 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = common.Scratch(docs.sparkSession, "exact")
-    index = build_index(docs, scratch, doc, text).select("key", "text_sha256", "group_size", F.col("id").alias("keep_id"))
+    index, files = build_index(docs, scratch, doc, text)
+    index = index.select("key", "text_sha256", "group_size", F.col("id").alias("keep_id"))
     rows = docs.select(F.col(doc).alias("id"), common.as_text(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(common.small(_digests), f"doc_id {kind}, points long, key long, text_sha256 string")
-    found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()), "digests")
+    found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()).coalesce(files), "digests")
     # which of the rows that are equal in id and length stays; combined within each task first
     stays = found.groupBy("key", "text_sha256").agg(F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    known = scratch.put(index.join(stays.select("key", "text_sha256", F.col("first.row").alias("kept_row")), ["key", "text_sha256"]), "known")
-    return found.join(known, ["key", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("kept_row")).alias("kept"), "text_sha256")
+    known = scratch.put(index.join(stays.select("key", "text_sha256", F.col("first.row").alias("kept_row")), ["key", "text_sha256"]).coalesce(files), "known")
+    return found.join(known, ["key", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("kept_row")).alias("kept"), "text_sha256").coalesce(files)
 
 
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     others = [c for c in docs.columns if c != text]
-    index = build_index(docs, common.Scratch(docs.sparkSession, "exact"), doc, text, others)
+    index, _ = build_index(docs, common.Scratch(docs.sparkSession, "exact"), doc, text, others)
     back = F.when(~F.col("row.was_null"), F.col("text").cast(docs.schema[text].dataType)).alias(text)
     return index.select(*[back if c == text else F.col("row").getField(f"c{others.index(c)}").alias(c) for c in docs.columns])
 

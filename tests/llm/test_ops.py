@@ -3,6 +3,7 @@
 import hashlib
 import importlib
 import math
+import os
 import random
 import re
 import time
@@ -258,6 +259,25 @@ def test_one_of_many_equal_rows_stays(spark, docs):
     assert sum(g[3] for g in got) == 1 and [g[0] for g in got if g[3]] == [1]
 
 
+def test_small_tables_are_written_by_few_tasks(spark, docs, monkeypatch):
+    """However finely the shuffles are dealt; a hot text and single ones come out as before, from as few tasks."""
+    made, real = {}, common.Scratch.put
+    monkeypatch.setattr(common.Scratch, "put", lambda self, df, name: made.setdefault(name, real(self, df, name)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("31", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = exact.groups(docs([(i, f"text {i}" if i % 2 else " hot") for i in range(300)]).repartition(29))
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in out.collect()}
+        most = max(spark.sparkContext.defaultParallelism, 1)
+        files = {name: sum(x.startswith("part-") for x in os.listdir(os.path.dirname(df.inputFiles()[0].removeprefix("file:")))) for name, df in made.items()}
+        assert set(files) == {"index", "digests", "known"} and max(files.values()) <= most and out.rdd.getNumPartitions() <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: (i, 1, True) if i % 2 else (0, 150, i == 0) for i in range(300)}
+
+
 def test_chains_compare_bytes(spark, docs, monkeypatch):
     """With one key for all, only the bytes tell the texts apart."""
     monkeypatch.setattr(exact, "_key", lambda data: 7)
