@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import time
 from pathlib import Path
 
@@ -352,6 +353,20 @@ def test_written_tables_free_their_shuffles(spark):
     assert files() <= before and rows.count() == 3
 
 
+def test_depth_frontier_deals_pairs_once(spark):
+    """Links and ranked pairs are shuffled by query and not again; pairs that repeat, pairs without an id and queries without any count as before."""
+    ranking = frame(spark, [("Q1", "T1", 1), ("Q1", "T2", 2), ("Q1", "T2", 3), ("Q1", None, 4), ("Q2", "T1", 1), ("Q9", "T1", 1)], "qid string, tid string, rrf_rank int")
+    truth = frame(spark, [("Q1", "T2"), ("Q1", "T2"), ("Q1", "T7"), ("Q3", "T1"), ("Q9", "T1")])
+    required = frame(spark, [("Q1",), ("Q2",), ("Q3",), ("Q4",)], "qid string")
+    out = metrics.depth_frontier(required, truth, ranking, (2, None))
+    plan = planned(out)
+    assert "hashpartitioning(tid" not in plan and "hashpartitioning(qid" in plan and not re.search(r"hashpartitioning\(qid#\d+, tid", plan)
+    counts = [("Q1", 2, 2, 1, None, 4, 2), ("Q2", 0, 1, 0, None, 1, 0), ("Q3", 1, 0, 0, None, 0, 0), ("Q4", 0, 0, 0, None, 0, 0)]
+    rows = [(q, n, k, a, b) for q, n, p2, t2, _, p, t in counts for k, a, b in ((2, p2, t2), (None, p, t))]
+    want = metrics.candidate_report(frame(spark, rows, "qid string, n_true long, k int, n_pred long, n_tp long"), ["k"])
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
 def test_written_tables_start_no_process_for_a_folder(spark, tmp_path):
     """Folders have this process's mask and not the one that Hadoop sets by a process of its own; there is no mark of success."""
     mask = os.umask(0o027)
