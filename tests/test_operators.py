@@ -403,6 +403,15 @@ def test_pair_features_read_written_hits_and_views(spark, sf):
     assert "regexp_replace" not in planned(catalog._pair_features(d))
 
 
+def test_settings_are_screened_one_plan_each(spark, sf):
+    """What comes back reads the counts of each setting, and holds no model."""
+    out = catalog.QUERIES["model_screen"](spark, sf)
+    plan = planned(out)
+    assert plan.count("FileScan") == 4 and "UDF" not in plan and "Exchange" not in plan
+    rows = out.collect()
+    assert [r["arm"] for r in sorted(rows)] == [f"depth-{k}" for k in (1, 2, 3, 4)] and len({(r["n"], r["n_pairs"], r["n_bad"]) for r in rows}) == 1
+
+
 def test_matcher_rows_read_written_views(spark, sf):
     """Records are normalised in plans of their own, candidates are settled before the features."""
     d = catalog.Data(spark, sf)
