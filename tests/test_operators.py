@@ -396,6 +396,25 @@ def test_channels_are_written_one_by_one(spark, monkeypatch):
     assert [(r["qid"], r["tid"]) for r in found.orderBy("qid", "rrf_rank").collect()] == [("Q1", "T2"), ("Q1", "T1"), ("Q1", "T9"), ("Q1", "T4"), ("Q3", None)]
 
 
+def _copied(spark, sf, tmp_path, shifts=(0, 300, 601)):
+    """A folder with copies of the parts under shifted keys."""
+    part = spark.read.parquet(f"{sf}/part.parquet").limit(60)
+    for i in shifts:
+        part.withColumn("p_partkey", F.col("p_partkey") + i).write.mode("append").parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_candidates_are_sought_once_a_kind(spark, sf, tmp_path, monkeypatch):
+    """Queries that are written alike are searched once; each gets what it would get by itself."""
+    d = catalog.Data(spark, _copied(spark, sf, tmp_path))
+    want = [x.collect() for x in fusion.generate(d.required(), d.pool, fusion.retrieve(d.queries, d.pool), blocking.duplicates(d.pool))]
+    asked, real = [], fusion.retrieve
+    monkeypatch.setattr(fusion, "retrieve", lambda q, p, *a: asked.append(q.count()) or real(q, p, *a))
+    got = [x.select(*want[i][0].__fields__).collect() for i, x in enumerate(d.candidates())]
+    assert [sorted(map(str, x)) for x in got] == [sorted(map(str, x)) for x in want] and len(got[0]) > 100
+    assert asked == [d.queries.select("name", "address", "country").distinct().count()] and asked[0] < d.queries.count()
+
+
 def test_pair_features_read_written_hits_and_views(spark, sf):
     d = catalog.Data(spark, sf)
     d.hits = lambda made=d.hits(): made
