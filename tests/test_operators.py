@@ -294,6 +294,27 @@ def test_model_stops_early_and_comes_back(spark, tmp_path):
         model.predict(made, rows, ["a"])
 
 
+def test_weighted_rows_are_learned_as_repeated_ones(spark):
+    """A row that stands for equal ones in each fold gives the trees, the least rows of a node and the predictions that those give."""
+    rows = spark.range(90).select(F.col("id").cast("string").alias("tid"), (F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 4).alias("n"))
+    rows = rows.withColumn("is_match", (F.col("a") + F.col("b") > 7).cast("double")).withColumn("weights", F.array(*[F.pmod(F.col("n") + k, F.lit(4)).cast("double") for k in range(3)])).drop("n")
+    each = rows.select("*", F.posexplode("weights").alias("fold", "w")).select("tid", "a", "b", "is_match", "fold", F.explode(F.expr("array_repeat(0, cast(w as int))"))).drop("col")
+    settings_ = {"maxDepth": 3, "stepSize": 0.5, "minInstancesPerNode": 9}
+    got, want = (model.out_of_fold(x, ["a", "b"], rounds=3, settings=settings_)[0] for x in (rows, each))
+    rounded = lambda x: {(r["tid"], r["fold"]): round(r["p"], 9) for r in x.collect()}
+    assert rounded(got) == rounded(want) and got.agg(F.sum("weight")).head()[0] == each.count()
+
+
+def test_matcher_rows_of_a_kind_are_made_once(spark, sf, tmp_path, monkeypatch):
+    """One row a kind of query and candidate, with the kind's queries by fold; all pairs come back with a prediction."""
+    d = catalog.Data(spark, _copied(spark, sf, tmp_path, (0, 300, 600)))
+    monkeypatch.setattr(catalog.Data, "candidates", lambda self: ((pairs := self.queries.select("qid", F.lit("S2-1").alias("tid"), F.lit(0.5).alias("rrf"))), pairs.select("qid", "tid", *[F.lit(0.5).alias(f"{c}_score") for c in fusion.CHANNEL_WEIGHTS])))
+    rows, named = catalog.matcher_kinds(d)
+    n = d.queries.withColumn("own", catalog.real_country(F.col("qid"))).select("name", "address", "country", "own").distinct().count()
+    assert rows.count() == n < d.queries.count() == named.select("qid").distinct().count()
+    assert rows.agg(F.sum(model.total_weight())).head()[0] == d.queries.count()
+
+
 def test_backfill_with_its_own_ratio(spark):
     schema = "string, name string, address string, country string, text string"
     q = spark.createDataFrame([("Q1", "acme shop", "12 long road", "US", "acme shop 12 long road"), ("Q2", "zeta", "5 x", "US", "zeta 5 x")], f"qid {schema}")
