@@ -305,6 +305,16 @@ def test_weighted_rows_are_learned_as_repeated_ones(spark):
     assert rounded(got) == rounded(want) and got.agg(F.sum("weight")).head()[0] == each.count()
 
 
+def test_settings_are_screened_with_all_their_rounds(spark, sf, monkeypatch):
+    """A screen's models may have as many trees as any other model."""
+    rows = spark.range(60).select(F.col("id").cast("string").alias("kind"), F.lit("t").alias("tid"), (F.col("id") % 2).cast("double").alias("is_match"), F.array(*[F.lit(1.0)] * 3).alias("weights"), *[F.col("id").cast("double").alias(f) for f in features.FEATURES])
+    asked, real = [], model._classifier
+    monkeypatch.setattr(catalog, "matcher_kinds", lambda d: (rows, None))
+    monkeypatch.setattr(model, "_classifier", lambda rounds, *a: asked.append(rounds) or real(1, *a))
+    assert {tuple(r)[1:] for r in catalog.QUERIES["model_screen"](spark, sf).collect()} == {(180, 180, 0)}
+    assert asked == [40] * 12
+
+
 def test_matcher_rows_of_a_kind_are_made_once(spark, sf, tmp_path, monkeypatch):
     """One row a kind of query and candidate, with the kind's queries by fold; all pairs come back with a prediction."""
     d = catalog.Data(spark, _copied(spark, sf, tmp_path, (0, 300, 600)))
